@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mergewell.llm import sharding
+from mergewell.llm import quality, sharding
 
-MODULES = [sharding]
+MODULES = [sharding, quality]
 
 
 def queries() -> dict:

@@ -17,6 +17,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    A chain of columns would do as well until a filter is pushed below it and every name is
+    replaced by its definition; a bound variable is never copied.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the session has it.
 
