@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mergewell.llm import quality, sharding
+from mergewell.llm import quality, sharding, wavelet
 
-MODULES = [sharding, quality]
+MODULES = [sharding, quality, wavelet]
 
 
 def queries() -> dict:
