@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mergewell.llm import quality, sharding, wavelet
+from mergewell.llm import bpe, quality, sharding, wavelet
 
-MODULES = [sharding, quality, wavelet]
+MODULES = [sharding, quality, wavelet, bpe]
 
 
 def queries() -> dict:
