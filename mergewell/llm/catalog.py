@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mergewell.llm import bpe, quality, sharding, wavelet
+from mergewell.llm import bpe, langid, quality, sharding, wavelet
 
-MODULES = [sharding, quality, wavelet, bpe]
+MODULES = [sharding, quality, wavelet, bpe, langid]
 
 
 def queries() -> dict:
