@@ -126,35 +126,51 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, ste
     return best.select("stratum", "rule", (F.col("level") / F.lit(float(steps))).alias("cutoff"))
 
 
-def judge(df: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Add ``base_failed``, ``kept``, the counts and scores to documents of (doc_id, text, lang).
+def bars(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row per stratum that has a cutoff, a column ``bar_<rule>`` each, from scored documents without their texts.
 
-    The strata are the values of ``lang`` (null is one).  Documents without a label, with a
-    null doc_id or with labels of both kinds teach nothing; rows that share a labelled doc_id
-    each count.  Empty and null texts fail the base rules for having under ten words.  A frame
-    with columns named like the added ones has them replaced.  Empty tables give empty results.
+    Documents without a label, with a null doc_id or with labels of both kinds teach nothing;
+    rows that share a labelled doc_id each count.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_other"))
     known = known.where("quality = _other").drop("_other")
-    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("(none)"))
-    scored = with_features(df).withColumn("stratum", stratum)
-    taught = with_features(df.select("doc_id", "text", stratum.alias("stratum")).join(known, "doc_id"))
-    taught = taught.withColumn("quality", F.when(~F.col("base_failed"), F.col("quality"))).select("stratum", "quality", *RULES)
+    taught = scored.where(~F.col("base_failed")).select("doc_id", "stratum", *RULES).join(known, "doc_id")
     found = cut(cutoffs(taught, alpha, delta), "cutoffs")
-    bars = found.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    bars = bars.select("stratum", *[F.col(r).alias(f"bar_{r}") for r in RULES])
-    out = scored.join(bars, "stratum", "left")
+    wide = found.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    return wide.select("stratum", *[F.col(r).alias(f"bar_{r}") for r in RULES])
+
+
+def apply_bars(scored: DataFrame, wide: DataFrame) -> DataFrame:
+    """Add ``kept``: neither a base rule nor a cutoff of the document's stratum rejects it."""
+    out = scored.join(wide, "stratum", "left")
     over = functools.reduce(lambda a, b: a | b, [F.coalesce(F.col(r) > F.col(f"bar_{r}"), F.lit(False)) for r in RULES])
     return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~over)).drop(*[f"bar_{r}" for r in RULES])
 
 
+def with_stratum(df: DataFrame) -> DataFrame:
+    """The stratum of a document is its ``lang``; null is one of its own."""
+    return df.withColumn("stratum", F.coalesce(F.col("lang").cast("string"), F.lit("(none)")))
+
+
+def judge(df: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Add ``base_failed``, ``kept``, the counts and scores to documents of (doc_id, text, lang, ...).
+
+    The scores are computed once without the texts for the cutoffs, and once more beside the
+    texts, which are never shuffled.  Empty and null texts fail the base rules for having under
+    ten words.  Columns named like the added ones are replaced.  Empty tables give empty results.
+    """
+    narrow = cut(with_stratum(with_features(df.select("doc_id", "text", "lang"))).select("doc_id", "stratum", "base_failed", *RULES), "scores")
+    return apply_bars(with_stratum(with_features(df)), bars(narrow, labels, alpha, delta))
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return judge(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept")
+    scored = cut(with_stratum(with_features(docs)).select("doc_id", "stratum", *COUNTS, "base_failed", *RULES), "scores")
+    return apply_bars(scored, bars(scored, labels)).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}
