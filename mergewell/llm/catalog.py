@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mergewell.llm import bpe, langid, quality, sharding, wavelet
+from mergewell.llm import bpe, langid, near_dup, quality, sharding, wavelet
 
-MODULES = [sharding, quality, wavelet, bpe, langid]
+MODULES = [near_dup, wavelet, sharding, langid, quality, bpe]
 
 
 def queries() -> dict:

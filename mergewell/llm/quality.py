@@ -7,8 +7,8 @@ rejects.  A cutoff passes when the exact binomial tail says that a false-rejecti
 ``n`` good documents above it, which is the one-sided Clopper-Pearson bound turned round.
 ``tests`` counts every (rule, stratum): Bonferroni across them, and fixed-sequence testing
 from the most lenient cutoff inwards within each, so the family-wise error stays at ``delta``.
-Of the cutoffs that pass, the one that catches most bad documents is taken, the most
-lenient among equals, so nothing is rejected that buys nothing.  A stratum with too few
+Of the cutoffs that pass, the one is taken that catches most bad documents less ``COST`` for
+each good one, the most lenient among equals, so nothing is rejected that buys too little.  A stratum with too few
 labels gets no cutoff and keeps all that the base rules keep.
 """
 
@@ -23,6 +23,8 @@ from mergewell.llm.common import cut, let, words_of
 
 #: Share of good documents that all rules of a stratum together may reject, and the chance to be wrong about it.
 ALPHA, DELTA = 0.05, 0.05
+#: Bad documents that a cutoff must catch to make up for a good one.
+COST = 20
 #: Cutoffs are tried on this many even steps of each rule's score (0 to 1).
 STEPS = 50
 RULES = ("symbols", "capitals", "dup_lines", "shouts")
@@ -122,7 +124,8 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, ste
         .withColumn("passes", (F.col("k") < F.col("n") * F.lit(per_rule)) & (_log_choose_tail(F.col("n"), F.col("k"), per_rule) <= F.lit(float(delta)) / F.col("tests")))
         .withColumn("passes", F.min(F.col("passes").cast("int")).over(above) == 1)
     )
-    best = graded.where("passes and caught > 0").groupBy("stratum", "rule").agg(F.max(F.struct("caught", "level"))["level"].alias("level"))
+    gain = F.col("caught") - F.lit(COST) * F.col("k")
+    best = graded.where(F.col("passes") & (gain > 0)).groupBy("stratum", "rule").agg(F.max(F.struct(gain.alias("gain"), "level"))["level"].alias("level"))
     return best.select("stratum", "rule", (F.col("level") / F.lit(float(steps))).alias("cutoff"))
 
 
