@@ -11,6 +11,7 @@ frame follows a u64 of its length.  Counts before blocks are rebuilt when a blob
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -174,17 +175,23 @@ class WaveletMatrix:
         return cls(n, zeros, planes, lengths)
 
 
+#: A chunk of plain Latin letters with at most one stop behind them: letters and stop are cut
+#: apart by the tokenizer's own pattern, and its lower-casing works on each letter alone.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
+
 class ChunkEncoder:
-    """A tokenizer behind a table of the chunks between spaces and line feeds.
+    """A lower-casing tokenizer behind a table of the chunks between spaces and line feeds.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its chunks in order.  The table starts anew when it holds ``limit`` chunks.
+    its chunks in order.  Words that differ by case or by one stop share an entry's ids.  The
+    table starts anew when it holds ``limit`` chunks.
     """
 
     #: Put between unseen chunks so that one call encodes many; always one id of its own.
     MARK = "\x01"
 
-    def __init__(self, tokenizer_file: str, end_id: int, limit: int = 600_000):
+    def __init__(self, tokenizer_file: str, end_id: int, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.limit = Tokenizer.from_file(tokenizer_file), end_id, limit
@@ -198,35 +205,65 @@ class ChunkEncoder:
 
         class Numbers(dict):
             def __missing__(self, chunk):
-                number = self[chunk] = len(self) + 1
-                encoder.fresh.append(chunk)
+                plain = PLAIN.fullmatch(chunk)
+                if plain is None or plain[2] == "" and plain[1].islower():
+                    number = self[chunk] = encoder.count
+                    encoder.fresh.append(chunk)
+                    encoder.fresh_at.append(number)
+                    encoder.count += 1
+                    return number
+                body = self[plain[1].lower()]
+                if not plain[2]:
+                    self[chunk] = body
+                    return body
+                mark = self[plain[2]]
+                number = self[chunk] = encoder.count
+                encoder.count += 1
+                encoder.joined.append((number, body, mark))
                 return number
 
-        self.numbers, self.fresh = Numbers(), []
+        self.numbers, self.count, self.fresh, self.fresh_at, self.joined = Numbers(), 1, [], [], []
         self.flat = np.array([self.end_id], dtype=np.uint32)
-        self.sizes = np.array([1], dtype=np.int64)
+        self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
 
     def _learn(self) -> None:
         """Encode the chunks met for the first time."""
-        fresh, self.fresh = self.fresh, []
-        if not fresh:
+        if self.count == len(self.sizes):
             return
+        more = self.count - len(self.sizes)
+        self.starts, self.sizes = (np.concatenate((x, np.zeros(more, dtype=np.int64))) for x in (self.starts, self.sizes))
+        flat, size = [self.flat], len(self.flat)
+        fresh, at = self.fresh, self.fresh_at
         plain = [k for k, c in enumerate(fresh) if self.MARK not in c]
         odd = [k for k, c in enumerate(fresh) if self.MARK in c]
-        ids: list = [None] * len(fresh)
         for k, e in zip(odd, self.tokenizer.encode_batch([fresh[k] for k in odd], add_special_tokens=False), strict=True):
-            ids[k] = np.array(e.ids, dtype=np.uint32)
+            flat.append(np.array(e.ids, dtype=np.uint32))
+            self.starts[at[k]], self.sizes[at[k]] = size, len(e.ids)
+            size += len(e.ids)
         groups = [plain[k : k + 512] for k in range(0, len(plain), 512)]
-        for first in range(0, len(groups), 64):
-            some = groups[first : first + 64]
-            lines = [f" {self.MARK} ".join(fresh[k] for k in g) for g in some]
+        for first in range(0, len(groups), 16):
+            some = groups[first : first + 16]
+            lines = [f" {self.MARK} ".join([fresh[k] for k in g]) for g in some]
             for g, e in zip(some, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=True):
                 got = np.array(e.ids, dtype=np.uint32)
-                pieces = np.split(got, np.flatnonzero(got == self.mark_id))
-                for k, piece in zip(g, pieces, strict=True):
-                    ids[k] = piece if k == g[0] else piece[1:]
-        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))))
-        self.flat = np.concatenate((self.flat, *ids))
+                marks = np.flatnonzero(got == self.mark_id)
+                begins = np.concatenate(([0], marks + 1))
+                numbers = [at[k] for k in g]
+                self.starts[numbers] = begins + size
+                self.sizes[numbers] = np.concatenate((marks, [len(got)])) - begins
+                flat.append(got)
+                size += len(got)
+        self.flat = np.concatenate(flat)
+        if self.joined:
+            number, body, mark = np.array(self.joined, dtype=np.int64).T
+            sizes = np.stack((self.sizes[body], self.sizes[mark]), axis=1).reshape(-1)
+            ends = np.cumsum(sizes)
+            starts = np.stack((self.starts[body], self.starts[mark]), axis=1).reshape(-1)
+            ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+            self.sizes[number] = sizes[::2] + sizes[1::2]
+            self.starts[number] = (ends - sizes)[::2] + len(self.flat)
+            self.flat = np.concatenate((self.flat, ids))
+        self.fresh, self.fresh_at, self.joined = [], [], []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id behind it, and how many each has."""
@@ -240,11 +277,10 @@ class ChunkEncoder:
         self._learn()
         if not rows:
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
         at = np.concatenate(rows)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
         last = np.cumsum([len(a) + len(b) for a, b in zip(rows[::2], rows[1::2], strict=True)]) - 1
         return ids, np.diff(ends[last], prepend=0)
 
