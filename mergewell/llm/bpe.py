@@ -13,8 +13,7 @@ named by the token, and gadget after gadget only ever decides whether an arc t l
 
 Arcs follow these rules back through the merges the first time a word needs them and stay in
 the transition table, so the compiled part is as large as the words need, not vocabulary squared.
-A pre-split word is encoded by one pass over its bytes: each prefix has exactly one last token
-whose arc leaves the state of what comes before it.  Arc labels decode: a token emits its bytes.
+A pre-split word is encoded by following arcs over its bytes: exactly one path spells it.  Arc labels decode: a token emits its bytes.
 """
 
 from __future__ import annotations
@@ -55,10 +54,25 @@ class _Table(dict):
         return found
 
 
+class _Words(dict):
+    """Pre-split words and what they are read as; starts anew at its limit."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+
+    def __missing__(self, word: str):
+        a = self.automaton
+        if len(self) >= a.word_limit:
+            self.clear()
+        ids = a.encode_word(word.encode())
+        found = self[word] = len(ids), "".join([f",{i}" for i in ids]), b"".join([a.label[i] for i in ids])
+        return found
+
+
 class Automaton:
     """Compiled from a vocabulary file of the ``tokenizers`` library (byte-level BPE, lossless split)."""
 
-    def __init__(self, tokenizer_file: str, word_limit: int = 250_000, arc_limit: int = 2_000_000):
+    def __init__(self, tokenizer_file: str, word_limit: int = 800_000, arc_limit: int = 1_000_000):
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -85,14 +99,22 @@ class Automaton:
                 self.by_bytes[as_bytes(left + right)] = uv
         self.end = len(model["merges"])
         self.made = {t: True for t, when in self.time.items() if when < 0}
-        self.longest = max(map(len, self.by_bytes))
+        #: Of each beginning of a token: the token that it is, or -1.
+        self.prefixes: dict[bytes, int] = {}
+        for label, token in self.by_bytes.items():
+            for k in range(1, len(label)):
+                self.prefixes.setdefault(label[:k], -1)
+            self.prefixes[label] = token
+        self.sizes = {token: len(label) for label, token in self.by_bytes.items()}
+        #: Of each token: the longest other token that begins it, or -1.
+        self.shorter = {token: next((self.by_bytes[label[:k]] for k in range(len(label) - 1, 0, -1) if label[:k] in self.by_bytes), -1) for label, token in self.by_bytes.items()}
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.risky = regex.compile(r"\s ")
         self.arcs: dict[tuple[int, int], bool] = {}
         self.arc_limit, self.word_limit = arc_limit, word_limit
         #: What a piece at the start of a section, and one behind a space, is read as.
-        self.heads, self.words = _Table(self, ""), _Table(self, " ")
+        self.heads, self.words, self.pretokens = _Table(self, ""), _Table(self, " "), _Words(self)
 
     def arc(self, a: int, t: int) -> bool:
         """Whether the arc t leaves the state after a, once all gadgets are in."""
@@ -121,32 +143,54 @@ class Automaton:
                 now, t = tt, left
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The tokens of one pre-split word."""
+        """The tokens of one pre-split word: the automaton's one path that spells it.
+
+        From each place the longest arc label is tried first, then its shorter prefixes; a place
+        from which no arc leads on is never entered again, so the work is linear in the word.
+        """
         whole = self.by_bytes.get(word)
         if whole is not None and self.makes(whole):
             return [whole]
-        n, find, arcs, longest = len(word), self.by_bytes.get, self.arcs, self.longest
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                token = find(word[begin:end])
-                if token is None:
-                    continue
-                if begin:
-                    before = last[begin]
-                    ok = arcs.get((before, token))
+        n, arcs, shorter, sizes = len(word), self.arcs, self.shorter, self.sizes
+        path: list[int] = []
+        dead: set[int] = set()
+        at, token = 0, self._longest(word, 0)
+        while True:
+            if token < 0:  # nothing leads on from here: go back and take a shorter label
+                dead.add(at)
+                last = path.pop()
+                at -= sizes[last]
+                token = shorter[last]
+                continue
+            end = at + sizes[token]
+            if end not in dead:
+                if path:
+                    ok = arcs.get((path[-1], token))
                     if ok is None:
-                        ok = self.arc(before, token)
+                        ok = self.arc(path[-1], token)
                 else:
                     ok = self.makes(token)
                 if ok:
-                    last[end], start[end] = token, begin
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n = start[n]
-        return out[::-1]
+                    path.append(token)
+                    if end == n:
+                        return path
+                    at, token = end, self._longest(word, end)
+                    continue
+            token = shorter[token]
+
+    def _longest(self, word: bytes, at: int) -> int:
+        """The longest token that the word has at a place."""
+        found, end, prefixes = -1, at + 1, self.prefixes
+        token = prefixes.get(word[at:end])
+        n = len(word)
+        while token is not None:
+            if token >= 0:
+                found = token
+            end += 1
+            if end > n:
+                break
+            token = prefixes.get(word[at:end])
+        return found
 
     def makes(self, token: int) -> bool:
         """Whether BPE turns a token's own bytes into it: its parts do, and their arc stood when they merged."""
@@ -158,8 +202,10 @@ class Automaton:
 
     def read(self, piece: str) -> tuple[int, str, bytes]:
         """(number of tokens, their decimal ids behind commas, the bytes that they emit) of a piece."""
-        ids = [i for w in self.split.findall(piece) for i in self.encode_word(w.encode())]
-        return len(ids), "".join([f",{i}" for i in ids]), b"".join([self.label[i] for i in ids])
+        parts = list(map(self.pretokens.__getitem__, self.split.findall(piece)))
+        if len(parts) == 1:
+            return parts[0]
+        return sum(map(_COUNT, parts)), "".join(map(_IDS, parts)), b"".join(map(_BYTES, parts))
 
     def read_all(self, text: str) -> list[tuple[int, str, bytes]]:
         """What the pieces of a text are read as.
