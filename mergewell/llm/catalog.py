@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mergewell.llm import bpe, langid, line_dedup, near_dup, quality, sharding, wavelet
+from mergewell.llm import bpe, langid, line_dedup, near_dup, pii, quality, sharding, wavelet
 
-MODULES = [near_dup, wavelet, sharding, langid, line_dedup, quality, bpe]
+MODULES = [near_dup, wavelet, sharding, langid, line_dedup, quality, bpe, pii]
 
 
 def queries() -> dict:
