@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mergewell.llm import bpe, decontam, langid, line_dedup, near_dup, pii, quality, sharding, wavelet
+from mergewell.llm import bpe, byte_dedup, decontam, langid, line_dedup, near_dup, pii, quality, sharding, wavelet
 
-MODULES = [near_dup, wavelet, sharding, langid, line_dedup, quality, bpe, decontam, pii]
+MODULES = [near_dup, wavelet, sharding, langid, line_dedup, quality, bpe, decontam, pii, byte_dedup]
 
 
 def queries() -> dict:
