@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergewell.llm.common import cut, discard
+from mergewell.llm.common import cut, discard, if_small
 
 WINDOW, GRAM = 100, 24
 #: Bytes hashed at a time; a longer text is hashed in pieces that overlap by a window.
@@ -39,8 +39,6 @@ CHUNK = 1 << 18
 RUNS_PER_SHARD, SHARD_BYTES = 20_000, 4 << 20
 #: First windows that a merging task is meant to hold.
 MERGE_WINDOWS = 1_000_000
-#: Keys are broadcast only if they were counted and are so many at most; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
 
 _U = np.uint64
 _NULL = np.iinfo(np.int64).min
@@ -294,10 +292,6 @@ def merge_shards(table):
     return pa.table({"doc_id": pa.array(d, pa.int64(), mask=d == _NULL), "t": pa.array(u, pa.int64()), "lo": pa.array(s, pa.int32()), "hi": pa.array(s, pa.int32())})
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _same(a: str = "doc_id", b: str = "_d"):
     return F.col(a).eqNullSafe(F.col(b)) & (F.col("t") == F.col("_t"))
 
@@ -361,7 +355,7 @@ def _segments(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """(doc_id, t, lo, hi): stretches of windows, by first bytes, that start earlier; for first rows of each text."""
-    firsts = docs.join(_small(copies), _same(), "left_anti")
+    firsts = docs.join(if_small(copies), _same(), "left_anti")
     anchors = _anchors(firsts)
     counts = anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = cut(counts.select("hash", F.ceil(F.col("n") / F.lit(RUNS_PER_SHARD)).cast("int").alias("spread")), "anchors")

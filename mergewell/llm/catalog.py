@@ -8,8 +8,13 @@ MODULES = [near_dup, wavelet, sharding, langid, line_dedup, quality, bpe, decont
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
+    import corpus_pipeline
+
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()} | own

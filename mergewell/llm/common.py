@@ -57,6 +57,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: A side of a join is broadcast only if it was counted and has so many rows at most.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcasting if its rows, counted now, are few; else joins shuffle.
+
+    For narrow rows of keys and numbers that are cheap to count, as written tables are.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table behind a frame from :func:`cut` that nothing reads any more."""
     spark = df.sparkSession

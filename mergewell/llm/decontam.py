@@ -19,19 +19,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergewell.llm.common import WORD_GAP, cut, let
+from mergewell.llm.common import WORD_GAP, cut, if_small, let
 
 SHINGLE, THRESHOLD = 5, 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 #: Fingerprints within this distance share a block up to BLOCK_RADIUS bits for certain.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: A side is broadcast only if it was counted and has so many rows at most; beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcasting if it is small enough; ``df`` must be cheap to count, as written tables are."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def plain_words(text: Column) -> Column:
@@ -128,9 +121,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sized = cut(items.select("n", F.explode(F.array_distinct("hashes")).alias("h")).distinct(), "item-shingles")
     shingled = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), shingles_of(F.col("text")).alias("hs"))
     spread = shingled.select("d", "th", F.size("hs").alias("m"), F.posexplode("hs").alias("p", "h"))
-    hits = spread.join(_small(sized), "h").select("d", "th", "m", "n", "p")
+    hits = spread.join(if_small(sized), "h").select("d", "th", "m", "n", "p")
     where = cut(_windows(hits).groupBy("d", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")), "windows")
-    keyed = _small(where.withColumnsRenamed({"d": "_d", "th": "_th"}))
+    keyed = if_small(where.withColumnsRenamed({"d": "_d", "th": "_th"}))
     held = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(keyed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th")))
     held = held.select("doc_id", "th", shingles_of(F.col("text")).alias("hs"), "runs")
     cutout = F.transform("runs", lambda r: F.struct(r["s"].alias("s"), r["n"].alias("n"), F.slice(F.col("hs"), r["s"] + 1, r["l"]).alias("w")))
@@ -143,9 +136,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     flips = F.array(*[F.lit(f) for f in _flips()])
     index = items.select("n", "item_id", F.col("print").alias("of_item"), F.posexplode(F.array(*_blocks(F.col("print")))).alias("block", "own"))
     index = cut(index.select("n", "item_id", "of_item", "block", F.explode(F.transform(flips, lambda f: F.col("own").bitwiseXOR(f))).alias("value")), "index")
-    near = probes.join(_small(index), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("of_item"))) <= RADIUS)
+    near = probes.join(if_small(index), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("of_item"))) <= RADIUS)
     near = near.select("n", "k1", "k2", "item_id").distinct()
-    both = near.join(prints.select("n", "k1", "k2", "w"), ["n", "k1", "k2"]).join(_small(items.select("item_id", "n", "hashes")), ["item_id", "n"])
+    both = near.join(prints.select("n", "k1", "k2", "w"), ["n", "k1", "k2"]).join(if_small(items.select("item_id", "n", "hashes")), ["item_id", "n"])
     shared = overlap(F.col("w"), F.col("hashes"))
     scored = both.select("n", "k1", "k2", "item_id", let(shared, lambda o: o / (F.size("w") + F.size("hashes") - o)).alias("similarity"))
     passed = cut(scored.where(F.col("similarity") >= THRESHOLD), "passed")
@@ -156,7 +149,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents of (doc_id, text, ...) that hold no benchmark item."""
-    leaks = _small(cut(find(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct(), "leaks"))
+    leaks = if_small(cut(find(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct(), "leaks"))
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
 
 

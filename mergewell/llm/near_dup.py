@@ -11,9 +11,10 @@ equal to the weighted Jaccard similarity.  Points come in order, so a process st
 passes the latest register: whole texts cost about one point a shingle.
 
 Registers are banded; documents that agree on a band are candidates.  A bucket links its members
-to the member that meets most others (never all pairs), links are verified by exact multiset
-overlap, members that fail are set against all of their bucket by their signatures, in blocks,
-and what looks similar is verified too.  Connected documents form a class.
+to the member that meets most others (never all pairs), and links are verified by exact multiset
+overlap.  Members that fail are set against the rest of their bucket by their signatures, in
+blocks held as arrays; what looks similar is verified there, as far as it connects what is not
+connected yet.  Connected documents form a class.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergewell.llm.common import cut, discard, words_of
+from mergewell.llm.common import cut, discard, if_small, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Two documents at the threshold share a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
@@ -33,8 +34,8 @@ BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 #: Signatures that agree on this share of registers or more are verified: the threshold less 4 standard errors.
 SKETCH_FLOOR = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-#: Members of a bucket that one task compares with as many others at a time.
-BLOCK = 512
+#: Members of a bucket that one task sets against as many others.
+BLOCK = 1024
 
 _U = np.uint64
 
@@ -208,30 +209,83 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def _sketch_pairs(members: DataFrame) -> DataFrame:
-    """Pairs that look similar, from (band, key, node, sketch, fails): each failing member against all of its bucket.
+def _dealt(members: DataFrame) -> DataFrame:
+    """Rows of (band, key, i, j, asks, ...) from members of buckets: blocks of a bucket set against blocks.
 
-    A bucket is cut into blocks by a hash of the node; a task holds two blocks and compares
-    their signatures as arrays, so the rows moved are blocks and the rows made are pairs that pass.
+    Members that fail in their band ask, in their own block i against every block j; all members
+    answer, in their own block j to every block i.  A task holds two blocks, whatever the bucket's size.
     """
     sizes = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = dealt.where("fails").select("band", "key", "node", "sketch", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
-    right = dealt.select("band", "key", "node", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+    own = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks = own.where("(shiftright(fails, band) & 1) = 1").select("band", "key", F.col("own").alias("i"), other.alias("j"), F.lit(True).alias("asks"), "node", "sketch", "fails")
+    return asks.union(own.select("band", "key", other.alias("i"), F.col("own").alias("j"), F.lit(False), "node", "sketch", "fails"))
 
-    def compare(key, table):
-        asks = np.asarray(table.column("asks").combine_chunks())
-        node = table.column("node").to_pylist()
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(len(node), REGISTERS)
-        ask, rest = np.flatnonzero(asks), np.flatnonzero(~asks)
-        found = []
-        for p in ask if len(rest) else ():
-            close = rest[(bits[rest] == bits[p]).mean(axis=1) >= SKETCH_FLOOR]
-            found += [(min(node[p], node[q]), max(node[p], node[q])) for q in close if node[p] != node[q]]
-        found = sorted(set(found))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    return left.union(right).groupBy("band", "key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+def _likely(table) -> tuple[list[bytes], list[tuple[float, int, int]]]:
+    """The nodes of a task, and its likely pairs as (estimate, asking row, answering row), best first.
+
+    A pair belongs to the first band that both share and in which one of them fails, so no pair
+    is looked at twice.
+    """
+    node = table.column("node").to_pylist()
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    band = table.column("band")[0].as_py()
+    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(len(node), REGISTERS)
+    fails = table.column("fails").to_numpy()
+    rest, found = np.flatnonzero(~asks), []
+    powers = 1 << np.arange(BANDS)
+    for p in np.flatnonzero(asks):
+        same = bits[rest] == bits[p]
+        share = same.mean(axis=1)
+        close = np.flatnonzero(share >= SKETCH_FLOOR)
+        if len(close):
+            agreed = same[close].reshape(len(close), BANDS, ROWS).all(axis=2)
+            usable = agreed & (((fails[rest[close]] | fails[p])[:, None] & powers) > 0)
+            close = close[usable.argmax(axis=1) == band]
+        found += [(float(share[q]), int(p), int(rest[q])) for q in close if node[p] != node[rest[q]]]
+    found.sort(reverse=True)
+    return node, found
+
+
+def _more_links(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b) of links in buckets of (band, key, node, sketch, fails), as few as connect the same members.
+
+    A first pass finds by signatures alone which members have a likely partner in a task; only
+    their bags travel there, and pairs already connected in the task are passed over.
+    """
+    task = ["band", "key", "i", "j"]
+
+    def involve(key, table):
+        node, found = _likely(table)
+        rows = sorted({r for _, p, q in found for r in (p, q)})
+        return table.take(pa.array(rows, pa.int64())).select([*task, "asks", "node", "sketch", "fails"])
+
+    kinds = "band int, key long, i int, j int, asks boolean, node binary, sketch binary, fails int"
+    involved = cut(_dealt(members).select(*task, "asks", "node", "sketch", "fails").groupBy(*task).applyInArrow(involve, kinds), "involved")
+    wanted = nodes.join(involved.select("node").distinct(), "node", "left_semi").select("doc_id", "th")
+    bags = _bags(docs, wanted)
+
+    def connect(key, table):
+        node, found = _likely(table)
+        bag = table.column("bag")
+        root = {x: x for x in node}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for _, p, q in found:
+            x, y = top(node[p]), top(node[q])
+            if x != y and _overlap(bag[p].as_py(), bag[q].as_py()) >= THRESHOLD:
+                root[y] = x
+                out.append((node[p], node[q]))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
+
+    return cut(involved.join(bags, "node").select(*task, "asks", "node", "sketch", "fails", "bag").groupBy(*task).applyInArrow(connect, "a binary, b binary"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,13 +331,12 @@ def find(docs: DataFrame) -> DataFrame:
     first = _verified(docs, nodes, pairs)
     judged = stars.withColumns({"a": F.least("node", "head"), "b": F.greatest("node", "head")}).join(first, ["a", "b"])
     failing = judged.where(F.col("similarity") < THRESHOLD).select("band", "key", "node")
-    hot = failing.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
-    around = stars.join(hot, ["band", "key"], "left_semi").select("band", "key", "node")
-    marked = around.join(failing.withColumn("fails", F.lit(True)), ["band", "key", "node"], "left").withColumn("fails", F.coalesce("fails", F.lit(False)))
-    sketched = marked.join(nodes.select("node", "sketch"), "node").select("band", "key", "node", "sketch", "fails")
-    more = _sketch_pairs(sketched).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(docs, nodes, cut(more, "more"))
-    roots = components(first.union(second).where(F.col("similarity") >= THRESHOLD))
+    hot = failing.select("band", "key").distinct()
+    masks = failing.groupBy("node").agg(F.sum(F.expr("shiftleft(1, band)")).cast("int").alias("fails"))
+    around = stars.join(hot, ["band", "key"], "left_semi").select("band", "key", "node").join(masks, "node", "left")
+    around = around.join(nodes.select("node", "sketch"), "node").select("band", "key", "node", "sketch", F.coalesce("fails", F.lit(0)).alias("fails"))
+    second = _more_links(docs, nodes, cut(around, "around"))
+    roots = components(first.where(F.col("similarity") >= THRESHOLD).select("a", "b").union(second))
     named = nodes.select("node", "copy_of", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
     named = named.join(least, "root").select("node", "copy_of", "n_copies", "class_id")
@@ -304,9 +357,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share a null class_id are distinct documents and stay.  Rows equal in doc_id and
     text are one document; the first of them stays.
     """
-    found = find(docs)
-    kept = found.where(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
+    gone = find(docs).where(F.col("doc_id").isNull() & F.col("class_id").isNotNull() | (F.col("doc_id") != F.col("class_id")))
+    gone = if_small(cut(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "duplicates"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
 
 
 def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

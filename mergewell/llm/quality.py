@@ -19,7 +19,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergewell.llm.common import cut, let, words_of
+from mergewell.llm.common import cut, if_small, let, words_of
 
 #: Share of good documents that all rules of a stratum together may reject, and the chance to be wrong about it.
 ALPHA, DELTA = 0.05, 0.05
@@ -166,6 +166,18 @@ def judge(df: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float =
     return apply_bars(with_stratum(with_features(df)), bars(narrow, labels, alpha, delta))
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents of (doc_id, text, lang, ...) that neither a base rule nor a cutoff rejects.
+
+    Scores are taken once, without the texts; rows equal in doc_id and text go if one of them does.
+    """
+    key = F.xxhash64("text").alias("_th")
+    scored = cut(with_stratum(with_features(docs.select("doc_id", key, "text", "lang"))).select("doc_id", "_th", "stratum", "base_failed", *RULES), "scores")
+    gone = apply_bars(scored, bars(scored, labels)).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), "_th").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_th"))
+    return docs.join(if_small(cut(gone, "rejected")), same, "left_anti")
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

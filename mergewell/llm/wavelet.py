@@ -11,6 +11,7 @@ frame follows a u64 of its length.  Counts before blocks are rebuilt when a blob
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +32,8 @@ MAGIC = b"WVM1"
 BLOCK = 512
 #: A blob is closed at the document that takes it to this many ids or more.
 BLOB_TOKENS = 2_000_000
+#: Documents encoded at a time.
+SLICE = 1024
 #: Bytes of text per range of documents, about.
 RANGE_BYTES = 16 << 20
 END_ID = 1
@@ -175,9 +179,13 @@ class WaveletMatrix:
         return cls(n, zeros, planes, lengths)
 
 
-#: A chunk of plain Latin letters with at most one stop behind them: letters and stop are cut
-#: apart by the tokenizer's own pattern, and its lower-casing works on each letter alone.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+#: Plain Latin letters: the tokenizer's pattern cuts one stop behind them off, and its
+#: lower-casing works on each letter alone.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+#: Byte-level vocabularies write bytes that do not print as letters from U+0100 on.
+BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or 0xAE <= b))}
 
 
 class ChunkEncoder:
@@ -188,16 +196,20 @@ class ChunkEncoder:
     table starts anew when it holds ``limit`` chunks.
     """
 
-    #: Put between unseen chunks so that one call encodes many; always one id of its own.
-    MARK = "\x01"
-
     def __init__(self, tokenizer_file: str, end_id: int, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.limit = Tokenizer.from_file(tokenizer_file), end_id, limit
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        (self.mark_id,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        with open(tokenizer_file, encoding="utf-8") as f:
+            spec = json.load(f)
+        # words of plain letters, written as bytes, need no normalizing and no splitting: the same merges alone
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "truncation": None, "padding": None}
+        self.merges = Tokenizer.from_str(json.dumps(spec))
+        ends = spec["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+        self.closes[[i for t, i in spec["model"]["vocab"].items() if t.endswith(ends)]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -205,24 +217,31 @@ class ChunkEncoder:
 
         class Numbers(dict):
             def __missing__(self, chunk):
-                plain = PLAIN.fullmatch(chunk)
-                if plain is None or plain[2] == "" and plain[1].islower():
-                    number = self[chunk] = encoder.count
-                    encoder.fresh.append(chunk)
-                    encoder.fresh_at.append(number)
-                    encoder.count += 1
+                body, stop = (chunk[:-1], chunk[-1]) if chunk.endswith((".", ",")) else (chunk, "")
+                if not (body.isascii() and body.isalpha() or PLAIN.fullmatch(body)):
+                    return self.new(chunk, encoder.odd)
+                lower = body.lower()
+                if lower == chunk:
+                    number = self.new(chunk, encoder.plain)
+                    if not chunk.isascii():
+                        encoder.plain[-1] = (chunk.encode().decode("latin-1").translate(BYTE_LETTERS), number)
                     return number
-                body = self[plain[1].lower()]
-                if not plain[2]:
-                    self[chunk] = body
-                    return body
-                mark = self[plain[2]]
+                number = self[lower]
+                if stop:
+                    mark = self.get(stop) or self.new(stop, encoder.odd)
+                    encoder.joined.append((encoder.count, number, mark))
+                    number = encoder.count
+                    encoder.count += 1
+                self[chunk] = number
+                return number
+
+            def new(self, chunk, among):
                 number = self[chunk] = encoder.count
+                among.append((chunk, number))
                 encoder.count += 1
-                encoder.joined.append((number, body, mark))
                 return number
 
-        self.numbers, self.count, self.fresh, self.fresh_at, self.joined = Numbers(), 1, [], [], []
+        self.numbers, self.count, self.plain, self.odd, self.joined = Numbers(), 1, [], [], []
         self.flat = np.array([self.end_id], dtype=np.uint32)
         self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
 
@@ -233,26 +252,22 @@ class ChunkEncoder:
         more = self.count - len(self.sizes)
         self.starts, self.sizes = (np.concatenate((x, np.zeros(more, dtype=np.int64))) for x in (self.starts, self.sizes))
         flat, size = [self.flat], len(self.flat)
-        fresh, at = self.fresh, self.fresh_at
-        plain = [k for k, c in enumerate(fresh) if self.MARK not in c]
-        odd = [k for k, c in enumerate(fresh) if self.MARK in c]
-        for k, e in zip(odd, self.tokenizer.encode_batch([fresh[k] for k in odd], add_special_tokens=False), strict=True):
-            flat.append(np.array(e.ids, dtype=np.uint32))
-            self.starts[at[k]], self.sizes[at[k]] = size, len(e.ids)
-            size += len(e.ids)
-        groups = [plain[k : k + 512] for k in range(0, len(plain), 512)]
-        for first in range(0, len(groups), 16):
-            some = groups[first : first + 16]
-            lines = [f" {self.MARK} ".join([fresh[k] for k in g]) for g in some]
-            for g, e in zip(some, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=True):
-                got = np.array(e.ids, dtype=np.uint32)
-                marks = np.flatnonzero(got == self.mark_id)
-                begins = np.concatenate(([0], marks + 1))
-                numbers = [at[k] for k in g]
-                self.starts[numbers] = begins + size
-                self.sizes[numbers] = np.concatenate((marks, [len(got)])) - begins
-                flat.append(got)
-                size += len(got)
+        for first in range(0, len(self.odd), 4096):
+            some = self.odd[first : first + 4096]
+            for (_, number), e in zip(some, self.tokenizer.encode_batch([c for c, _ in some], add_special_tokens=False), strict=True):
+                flat.append(np.array(e.ids, dtype=np.uint32))
+                self.starts[number], self.sizes[number] = size, len(e.ids)
+                size += len(e.ids)
+        for first in range(0, len(self.plain), 8192):
+            some = self.plain[first : first + 8192]
+            lines = [" ".join([c for c, _ in some[k : k + 512]]) for k in range(0, len(some), 512)]
+            got = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.closes[got]) + 1
+            numbers = [n for _, n in some]
+            self.sizes[numbers] = np.diff(ends, prepend=0)
+            self.starts[numbers] = size + np.concatenate(([0], ends[:-1]))
+            flat.append(got)
+            size += len(got)
         self.flat = np.concatenate(flat)
         if self.joined:
             number, body, mark = np.array(self.joined, dtype=np.int64).T
@@ -263,26 +278,23 @@ class ChunkEncoder:
             self.sizes[number] = sizes[::2] + sizes[1::2]
             self.starts[number] = (ends - sizes)[::2] + len(self.flat)
             self.flat = np.concatenate((self.flat, ids))
-        self.fresh, self.fresh_at, self.joined = [], [], []
+        self.plain, self.odd, self.joined = [], [], []
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id behind it, and how many each has."""
         if len(self.numbers) > self.limit:
             self._clear()
-        rows, number = [], self.numbers.__getitem__
-        for text in texts:
-            chunks = (text or "").replace("\n", " ").split(" ")
-            rows.append(np.fromiter(map(number, chunks), dtype=np.int32, count=len(chunks)))
-            rows.append(np.zeros(1, dtype=np.int32))
+        chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        ends = np.asarray(chunks.offsets, dtype=np.int64)[1:] - chunks.offsets[0].as_py()
+        coded = chunks.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.numbers.__getitem__, known), dtype=np.int64, count=len(known))
         self._learn()
-        if not rows:
-            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        at = np.concatenate(rows)
+        at = np.insert(numbers[np.asarray(coded.indices)], ends, 0)
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        last = np.cumsum([len(a) + len(b) for a, b in zip(rows[::2], rows[1::2], strict=True)]) - 1
-        return ids, np.diff(ends[last], prepend=0)
+        stops = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[at] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        return ids, np.diff(stops[ends + np.arange(len(ends))], prepend=0)
 
 
 _ENCODERS: dict = {}
@@ -328,10 +340,9 @@ def write_blobs(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = E
 
         for batch in batches:
             numbers = batch.column(0).to_pylist()
-            for first in range(0, len(numbers), 256):
-                texts = batch.column(1).slice(first, 256).to_pylist()
-                ids, lengths = encoder.encode(texts)
-                held.append((numbers[first : first + 256], ids, lengths))
+            for first in range(0, len(numbers), SLICE):
+                ids, lengths = encoder.encode(batch.column(1).slice(first, SLICE))
+                held.append((numbers[first : first + SLICE], ids, lengths))
                 tokens += len(ids)
                 if tokens >= blob_tokens:
                     yield close()
