@@ -37,10 +37,9 @@ def token_set(a: str, b: str) -> float:
     if both and (not left or not right):
         return 100.0
     base, l_text, r_text = " ".join(both), " ".join(left), " ".join(right)
-    best = ratio(l_text, r_text)
-    if both:
-        best = max(best, ratio(base, f"{base} {l_text}"), ratio(base, f"{base} {r_text}"))
-    return best
+    if not both:
+        return ratio(l_text, r_text)
+    return max(ratio(base, f"{base} {l_text}"), ratio(base, f"{base} {r_text}"), ratio(f"{base} {l_text}", f"{base} {r_text}"))
 
 
 def initials(a: str, b: str) -> float:

@@ -56,7 +56,7 @@ def emails(text: Column) -> Column:
 
 
 def phones(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), S.phone), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), lambda x: S.phone(x)), lambda x: x.isNotNull()))
 
 
 def links(text: Column) -> Column:

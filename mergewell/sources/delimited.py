@@ -12,7 +12,7 @@ from mergewell.sources.records import SourceError, as_records, checked, source
 
 @dataclass(frozen=True)
 class ColumnMapping:
-    """Header of each field; several headers may feed one field, the first non-empty cell wins."""
+    """Header of each field; several headers may feed one field, the first non-empty cell wins.  The defaults are fixed values."""
 
     external_id: str = "candidate_id"
     full_name: str = "full_name"
