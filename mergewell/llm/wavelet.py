@@ -31,9 +31,9 @@ MAGIC = b"WVM1"
 #: Bits of a plane between two stored counts.
 BLOCK = 512
 #: A blob is closed at the document that takes it to this many ids or more.
-BLOB_TOKENS = 2_000_000
+BLOB_TOKENS = 1 << 18
 #: Documents encoded at a time.
-SLICE = 1024
+SLICE = 512
 #: Bytes of text per range of documents, about.
 RANGE_BYTES = 16 << 20
 END_ID = 1
@@ -59,7 +59,7 @@ class WaveletMatrix:
         for shift in range(levels - 1, -1, -1):
             ones = (cur & cur.dtype.type(1 << shift)) != 0
             planes.append(np.packbits(ones))
-            low, high = cur[~ones], cur[ones]
+            low, high = np.compress(~ones, cur), np.compress(ones, cur)
             zeros.append(len(low))
             cur = np.concatenate((low, high))
         lengths = np.array([len(ids)] if doc_lengths is None else doc_lengths, dtype=np.uint32)
@@ -213,64 +213,63 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        encoder = self
-
-        class Numbers(dict):
-            def __missing__(self, chunk):
-                body, stop = (chunk[:-1], chunk[-1]) if chunk.endswith((".", ",")) else (chunk, "")
-                if not (body.isascii() and body.isalpha() or PLAIN.fullmatch(body)):
-                    return self.new(chunk, encoder.odd)
-                lower = body.lower()
-                if lower == chunk:
-                    number = self.new(chunk, encoder.plain)
-                    if not chunk.isascii():
-                        encoder.plain[-1] = (chunk.encode().decode("latin-1").translate(BYTE_LETTERS), number)
-                    return number
-                number = self[lower]
-                if stop:
-                    mark = self.get(stop) or self.new(stop, encoder.odd)
-                    encoder.joined.append((encoder.count, number, mark))
-                    number = encoder.count
-                    encoder.count += 1
-                self[chunk] = number
-                return number
-
-            def new(self, chunk, among):
-                number = self[chunk] = encoder.count
-                among.append((chunk, number))
-                encoder.count += 1
-                return number
-
-        self.numbers, self.count, self.plain, self.odd, self.joined = Numbers(), 1, [], [], []
+        self.numbers: dict[str, int] = {}
         self.flat = np.array([self.end_id], dtype=np.uint32)
-        self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
-
-    def _learn(self) -> None:
-        """Encode the chunks met for the first time."""
-        if self.count == len(self.sizes):
-            return
-        more = self.count - len(self.sizes)
-        self.starts, self.sizes = (np.concatenate((x, np.zeros(more, dtype=np.int64))) for x in (self.starts, self.sizes))
+        self.starts, self.sizes = np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Number and encode the chunks met for the first time."""
+        numbers, count = self.numbers, len(self.sizes)
+        plain: list[tuple[str, int]] = []
+        odd: list[tuple[str, int]] = []
+        joined: list[tuple[int, int, int]] = []
+        for chunk in fresh:
+            body, stop = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
+            ascii_ = body.isascii()
+            if not (body.isalpha() if ascii_ else PLAIN.fullmatch(body)):
+                if chunk not in numbers:
+                    numbers[chunk] = count
+                    odd.append((chunk, count))
+                    count += 1
+                continue
+            lower = body.lower()
+            number = numbers.get(lower)
+            if number is None:
+                number = numbers[lower] = count
+                plain.append((lower if ascii_ else lower.encode().decode("latin-1").translate(BYTE_LETTERS), count))
+                count += 1
+            if stop:
+                mark = numbers.get(stop)
+                if mark is None:
+                    mark = numbers[stop] = count
+                    odd.append((stop, count))
+                    count += 1
+                joined.append((count, number, mark))
+                number = count
+                count += 1
+            numbers[chunk] = number
+        more = count - len(self.sizes)
+        self.starts, self.sizes = (np.concatenate((x, np.zeros(more, dtype=np.int32))) for x in (self.starts, self.sizes))
         flat, size = [self.flat], len(self.flat)
-        for first in range(0, len(self.odd), 4096):
-            some = self.odd[first : first + 4096]
+        for first in range(0, len(odd), 4096):
+            some = odd[first : first + 4096]
             for (_, number), e in zip(some, self.tokenizer.encode_batch([c for c, _ in some], add_special_tokens=False), strict=True):
                 flat.append(np.array(e.ids, dtype=np.uint32))
                 self.starts[number], self.sizes[number] = size, len(e.ids)
                 size += len(e.ids)
-        for first in range(0, len(self.plain), 8192):
-            some = self.plain[first : first + 8192]
+        for first in range(0, len(plain), 8192):
+            some = plain[first : first + 8192]
             lines = [" ".join([c for c, _ in some[k : k + 512]]) for k in range(0, len(some), 512)]
             got = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
             ends = np.flatnonzero(self.closes[got]) + 1
-            numbers = [n for _, n in some]
-            self.sizes[numbers] = np.diff(ends, prepend=0)
-            self.starts[numbers] = size + np.concatenate(([0], ends[:-1]))
+            at = [n for _, n in some]
+            self.sizes[at] = np.diff(ends, prepend=0)
+            self.starts[at] = size + np.concatenate(([0], ends[:-1]))
             flat.append(got)
             size += len(got)
         self.flat = np.concatenate(flat)
-        if self.joined:
-            number, body, mark = np.array(self.joined, dtype=np.int64).T
+        if joined:
+            number, body, mark = np.array(joined, dtype=np.int64).T
             sizes = np.stack((self.sizes[body], self.sizes[mark]), axis=1).reshape(-1)
             ends = np.cumsum(sizes)
             starts = np.stack((self.starts[body], self.starts[mark]), axis=1).reshape(-1)
@@ -278,7 +277,6 @@ class ChunkEncoder:
             self.sizes[number] = sizes[::2] + sizes[1::2]
             self.starts[number] = (ends - sizes)[::2] + len(self.flat)
             self.flat = np.concatenate((self.flat, ids))
-        self.plain, self.odd, self.joined = [], [], []
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id behind it, and how many each has."""
@@ -288,13 +286,14 @@ class ChunkEncoder:
         ends = np.asarray(chunks.offsets, dtype=np.int64)[1:] - chunks.offsets[0].as_py()
         coded = chunks.flatten().dictionary_encode()
         known = coded.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.numbers.__getitem__, known), dtype=np.int64, count=len(known))
-        self._learn()
-        at = np.insert(numbers[np.asarray(coded.indices)], ends, 0)
-        sizes = self.sizes[at]
-        stops = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
-        return ids, np.diff(stops[ends + np.arange(len(ends))], prepend=0)
+        self._learn([c for c in known if c not in self.numbers])
+        numbers = np.fromiter(map(self.numbers.__getitem__, known), dtype=np.int32, count=len(known))
+        at = np.insert(numbers.take(coded.indices), ends, 0)
+        sizes = self.sizes.take(at)
+        stops = np.cumsum(sizes, dtype=np.int32)
+        place = np.repeat(self.starts.take(at) - (stops - sizes), sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.flat.take(place), np.diff(stops[ends + np.arange(len(ends))], prepend=0)
 
 
 _ENCODERS: dict = {}
