@@ -23,9 +23,11 @@ import json
 from collections.abc import Iterator
 from operator import itemgetter
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import pandas_udf
 
 #: How byte-level vocabularies split text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -268,22 +270,17 @@ def machine(tokenizer_file: str) -> Automaton:
 
 def encode(df: DataFrame, tokenizer_file: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """Add the ids of ``text`` as array<int> (null text: empty array); replaces a column of that name."""
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<int>")
-    def ids(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def ids(texts: pd.Series) -> pd.Series:
         return texts.map(machine(tokenizer_file).encode)
 
-    ids.__name__ = "bpe_encode"
     return df.withColumn(into, ids(df[text]))
 
 
 def decode(df: DataFrame, tokenizer_file: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """Add the text that ``ids`` decode to (null: empty)."""
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
-    def back(rows: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def back(rows: pd.Series) -> pd.Series:
         return rows.map(lambda x: machine(tokenizer_file).decode([] if x is None else [int(i) for i in x]))
 
     return df.withColumn(into, back(df[ids]))

@@ -352,10 +352,10 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents of (doc_id, text, ...) with one row of each near-duplicate class: its least doc_id.
+    """Documents of (doc_id, text, ...) with one document of each near-duplicate class: its least doc_id.
 
-    Rows that share a null class_id are distinct documents and stay.  Rows equal in doc_id and
-    text are one document; the first of them stays.
+    Rows equal in doc_id and text are one document and stay or go together.  Where a class has an
+    id, documents without one go; in a class of null ids alone all stay.
     """
     gone = find(docs).where(F.col("doc_id").isNull() & F.col("class_id").isNotNull() | (F.col("doc_id") != F.col("class_id")))
     gone = if_small(cut(gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "duplicates"))
