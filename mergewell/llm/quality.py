@@ -189,4 +189,55 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_quality_rules": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '(none)') AS stratum,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)
+), c AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM g) WHERE k > 1)
+  GROUP BY doc_id
+), f AS (
+  SELECT d.doc_id, stratum, t, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
+    coalesce(c.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+), s AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    least(1.0, n_symbols / greatest(word_chars, 1)::DOUBLE) AS symbols,
+    least(1.0, (length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g'))) / greatest(word_chars, 1)::DOUBLE) AS capitals,
+    n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_lines,
+    least(1.0, length(regexp_replace(t, '[^!]', '', 'g')) / greatest(word_chars, 1)::DOUBLE) AS shouts
+  FROM f
+), l AS (
+  SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)
+), u AS (
+  UNPIVOT (SELECT doc_id, stratum, base_failed, symbols, capitals, dup_lines, shouts FROM s) ON symbols, capitals, dup_lines, shouts INTO NAME rule VALUE score
+), k AS (
+  SELECT stratum, rule, greatest(ceil(score * {STEPS}) - 1, -1)::INT AS level, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad
+  FROM u JOIN l ON l.doc_id = u.doc_id WHERE NOT base_failed GROUP BY ALL
+), a AS (
+  SELECT stratum, rule, level, sum(good) OVER w AS k, sum(bad) OVER w AS caught, sum(good) OVER (PARTITION BY stratum, rule) AS n,
+    (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM k)) AS tests
+  FROM k WINDOW w AS (PARTITION BY stratum, rule ORDER BY level DESC)
+), b AS (
+  SELECT *, k < n * {ALPHA / len(RULES)} AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA / len(RULES)}::DOUBLE) + (n - j) * ln(1 - {ALPHA / len(RULES)}::DOUBLE)))
+    FROM (SELECT unnest(range(0, k::BIGINT + 1)) AS j)) <= {DELTA}::DOUBLE / tests AS ok
+  FROM a WHERE level >= 0 AND n > 0
+), q AS (
+  SELECT stratum, rule, level, caught - {COST} * k AS gain, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY level DESC) AS ok FROM b
+), r AS (
+  SELECT stratum, rule, arg_max(level, (gain, level)) / {STEPS}::DOUBLE AS cutoff FROM q WHERE ok AND gain > 0 GROUP BY stratum, rule
+), x AS (
+  SELECT DISTINCT u.doc_id FROM u JOIN r ON r.stratum = u.stratum AND r.rule = u.rule WHERE u.score > r.cutoff
+)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept
+FROM s LEFT JOIN x ON x.doc_id = s.doc_id
+"""
+}
