@@ -44,37 +44,30 @@ _COUNT, _IDS, _BYTES = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
 class _Table(dict):
-    """Pieces behind a fixed prefix and what the automaton reads them as; starts anew at its limit."""
+    """What keys are read as.  Keys met once wait in a short table and are forgotten with it; keys met
+    again stay, so the many that never return take no memory.  Either starts anew at its limit."""
 
-    def __init__(self, automaton: Automaton, prefix: str):
-        self.automaton, self.prefix = automaton, prefix
+    def __init__(self, read, limit: int, waiting: int):
+        self.read, self.limit, self.most, self.waiting = read, limit, waiting, {}
 
-    def __missing__(self, piece: str):
-        if len(self) >= self.automaton.word_limit:
-            self.clear()
-        found = self[piece] = self.automaton.read(self.prefix + piece)
-        return found
-
-
-class _Words(dict):
-    """Pre-split words and what they are read as; starts anew at its limit."""
-
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
-
-    def __missing__(self, word: str):
-        a = self.automaton
-        if len(self) >= a.word_limit:
-            self.clear()
-        ids = a.encode_word(word.encode())
-        found = self[word] = len(ids), "".join([f",{i}" for i in ids]), b"".join([a.label[i] for i in ids])
+    def __missing__(self, key: str):
+        found = self.waiting.pop(key, None)
+        if found is None:
+            found = self.read(key)
+            if len(self.waiting) >= self.most:
+                self.waiting.clear()
+            self.waiting[key] = found
+        else:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = found
         return found
 
 
 class Automaton:
     """Compiled from a vocabulary file of the ``tokenizers`` library (byte-level BPE, lossless split)."""
 
-    def __init__(self, tokenizer_file: str, word_limit: int = 800_000, arc_limit: int = 1_000_000):
+    def __init__(self, tokenizer_file: str, word_limit: int = 240_000, arc_limit: int = 500_000):
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -114,9 +107,11 @@ class Automaton:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.risky = regex.compile(r"\s ")
         self.arcs: dict[tuple[int, int], bool] = {}
-        self.arc_limit, self.word_limit = arc_limit, word_limit
+        self.arc_limit = arc_limit
         #: What a piece at the start of a section, and one behind a space, is read as.
-        self.heads, self.words, self.pretokens = _Table(self, ""), _Table(self, " "), _Words(self)
+        self.heads = _Table(self.read, word_limit // 8, word_limit // 8)
+        self.words = _Table(lambda piece: self.read(" " + piece), word_limit, word_limit // 2)
+        self.pretokens = _Table(self.read_word, word_limit, word_limit // 2)
 
     def arc(self, a: int, t: int) -> bool:
         """Whether the arc t leaves the state after a, once all gadgets are in."""
@@ -202,6 +197,11 @@ class Automaton:
             found = self.made[token] = self.makes(u) and self.makes(v) and self._arc(u, v, self.time[token])
         return found
 
+    def read_word(self, word: str) -> tuple[int, str, bytes]:
+        """The same of a pre-split word."""
+        ids = self.encode_word(word.encode())
+        return len(ids), "".join([f",{i}" for i in ids]), b"".join([self.label[i] for i in ids])
+
     def read(self, piece: str) -> tuple[int, str, bytes]:
         """(number of tokens, their decimal ids behind commas, the bytes that they emit) of a piece."""
         parts = list(map(self.pretokens.__getitem__, self.split.findall(piece)))
