@@ -67,7 +67,7 @@ class _Table(dict):
 class Automaton:
     """Compiled from a vocabulary file of the ``tokenizers`` library (byte-level BPE, lossless split)."""
 
-    def __init__(self, tokenizer_file: str, word_limit: int = 240_000, arc_limit: int = 500_000):
+    def __init__(self, tokenizer_file: str, word_limit: int = 240_000, arc_limit: int = 250_000):
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -106,7 +106,7 @@ class Automaton:
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.risky = regex.compile(r"\s ")
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         self.arc_limit = arc_limit
         #: What a piece at the start of a section, and one behind a space, is read as.
         self.heads = _Table(self.read, word_limit // 8, word_limit // 8)
@@ -115,11 +115,11 @@ class Automaton:
 
     def arc(self, a: int, t: int) -> bool:
         """Whether the arc t leaves the state after a, once all gadgets are in."""
-        found = self.arcs.get((a, t))
+        found = self.arcs.get(a << 32 | t)
         if found is None:
             if len(self.arcs) >= self.arc_limit:
                 self.arcs.clear()
-            found = self.arcs[a, t] = self._arc(a, t)
+            found = self.arcs[a << 32 | t] = self._arc(a, t)
         return found
 
     def _arc(self, a: int, t: int, now: int | None = None) -> bool:
@@ -162,7 +162,7 @@ class Automaton:
             end = at + sizes[token]
             if end not in dead:
                 if path:
-                    ok = arcs.get((path[-1], token))
+                    ok = arcs.get(path[-1] << 32 | token)
                     if ok is None:
                         ok = self.arc(path[-1], token)
                 else:
