@@ -140,8 +140,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
             before = np.empty_like(value)
-            before[~ones] = value[: self.zeros[level]]
-            before[ones] = value[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
+            before[np.flatnonzero(~ones)] = value[: self.zeros[level]]
+            before[np.flatnonzero(ones)] = value[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             value = before
         return value
 
@@ -196,7 +196,7 @@ class ChunkEncoder:
     table starts anew when it holds ``limit`` chunks.
     """
 
-    def __init__(self, tokenizer_file: str, end_id: int, limit: int = 800_000):
+    def __init__(self, tokenizer_file: str, end_id: int, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.limit = Tokenizer.from_file(tokenizer_file), end_id, limit
