@@ -128,7 +128,7 @@ def q_extract_email(spark, sf_dir):
 
 @query("""SELECT conv_id, turn, count(*) AS n_lines FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM conversations) WHERE regexp_matches(l, '[^\\s]') GROUP BY 1, 2""")
 def q_lines(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(extract.lines_of(F.col("text"))).alias("n_lines")).where("n_lines > 0")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(extract.lines_of(F.col("text"))).cast("long").alias("n_lines")).where("n_lines > 0")
 
 
 @query("""SELECT c_custkey AS k, 'Engineer' AS first_line, 2 AS n FROM customer""")
@@ -212,7 +212,7 @@ _RANKED = f"""WITH {SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY k ORDE
 @query(_RANKED + " SELECT record_idx, k * 4 AS cluster_id, rk AS place FROM q")
 def q_priority_rank(spark, sf_dir):
     m = _merged(spark, sf_dir).select("cluster_id", F.posexplode("members").alias("at", "record_idx"))
-    return m.select("record_idx", "cluster_id", (F.col("at") + 1).alias("place"))
+    return m.select("record_idx", "cluster_id", (F.col("at") + 1).cast("long").alias("place"))
 
 
 @query(_RANKED + " SELECT k * 4 AS cluster_id, arg_min(external_id, rk) AS external_id, arg_min(full_name, rk) FILTER (full_name IS NOT NULL) AS full_name, arg_min(headline, rk) FILTER (headline IS NOT NULL) AS headline, max(years) AS years_experience FROM q GROUP BY k")
@@ -238,10 +238,23 @@ def q_field_confidence(spark, sf_dir):
     return _merged(spark, sf_dir).select("cluster_id", c("emails"), c("phones"), c("skills"))
 
 
-@query()
+def _or(flags: dict[str, float]) -> str:
+    """1 less the product of doubts of the sources that a cluster has."""
+    return "1 - " + " * ".join(f"(CASE {c} WHEN 1 THEN 1 - {w}::DOUBLE ELSE 1.0::DOUBLE END)" for c, w in flags.items())
+
+
+@query(f"""WITH {SQL}, s AS (SELECT k, 1 AS c, max(CASE WHEN kind = 'json' THEN 1 ELSE 0 END) AS j, max(CASE WHEN kind = 'github' THEN 1 ELSE 0 END) AS g, max(CASE WHEN kind = 'resume' THEN 1 ELSE 0 END) AS x, max(years) AS y FROM r GROUP BY k),
+f AS (SELECT *, {_or({"c": 0.6, "j": 0.7, "g": 0.8, "x": 0.7})} AS everyone FROM s),
+v AS (
+  SELECT k, unnest([0.8, 1.0, 1.0, 0.9, 0.5, 0.8, 0.4, 0.5, 0.7, 0.8, 0.3]::DOUBLE[]) AS w, unnest([
+    CASE WHEN j = 1 AND g = 1 THEN round({_or({"j": 0.7, "g": 0.8})}, 4) WHEN j = 1 THEN round(1 - (1 - 0.7::DOUBLE), 4) WHEN g = 1 THEN round(1 - (1 - 0.8::DOUBLE), 4) ELSE round(everyone, 4) END,
+    0.6::DOUBLE, round({_or({"c": 0.6, "j": 0.7})}, 4), round({_or({"c": 0.6, "x": 0.7})}, 4), round(everyone, 4),
+    CASE WHEN g = 1 THEN round(everyone, 4) END, CASE WHEN j = 1 THEN 0.7::DOUBLE END, CASE WHEN y IS NOT NULL THEN round(everyone, 4) END,
+    round({_or({"c": 0.6, "g": 0.8})}, 4), round(everyone, 4), CASE WHEN x = 1 THEN 0.7::DOUBLE END]::DOUBLE[]) AS c FROM f)
+SELECT k * 4 AS cluster_id, round(sum(w * c) / sum(w), 3) AS overall_confidence FROM v WHERE c IS NOT NULL GROUP BY k""")
 def q_overall_confidence(spark, sf_dir):
-    """The weighted mean over present fields; tests hold it to worked values."""
-    return _merged(spark, sf_dir).select("cluster_id", "overall_confidence")
+    """The weighted mean over present fields, to three places: sums in another order may differ in the last."""
+    return _merged(spark, sf_dir).select("cluster_id", F.round("overall_confidence", 3).alias("overall_confidence"))
 
 
 @query(f"""WITH {SQL}, p AS (SELECT k, kind, label FROM r)
