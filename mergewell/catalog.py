@@ -251,7 +251,7 @@ v AS (
     0.6::DOUBLE, round({_or({"c": 0.6, "j": 0.7})}, 4), round({_or({"c": 0.6, "x": 0.7})}, 4), round(everyone, 4),
     CASE WHEN g = 1 THEN round(everyone, 4) END, CASE WHEN j = 1 THEN 0.7::DOUBLE END, CASE WHEN y IS NOT NULL THEN round(everyone, 4) END,
     round({_or({"c": 0.6, "g": 0.8})}, 4), round(everyone, 4), CASE WHEN x = 1 THEN 0.7::DOUBLE END]::DOUBLE[]) AS c FROM f)
-SELECT k * 4 AS cluster_id, round(sum(w * c) / sum(w), 3) AS overall_confidence FROM v WHERE c IS NOT NULL GROUP BY k""")
+SELECT k * 4 AS cluster_id, round(round(sum(w * c) / sum(w), 4), 3) AS overall_confidence FROM v WHERE c IS NOT NULL GROUP BY k""")
 def q_overall_confidence(spark, sf_dir):
     """The weighted mean over present fields, to three places: sums in another order may differ in the last."""
     return _merged(spark, sf_dir).select("cluster_id", F.round("overall_confidence", 3).alias("overall_confidence"))
