@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of repeated runs of lines; a document of which no word is left goes."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS)).where("n_removed = 0 or n_removed < n_lines")
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), maximal=True).where("n_removed = 0 or n_removed < n_lines")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
