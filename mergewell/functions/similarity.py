@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,36 @@ def initials_score(left: Column, right: Column) -> Column:
 def name_score(left: Column, right: Column) -> Column:
     """The best of token sort, token set and initials."""
     return _pairwise(lambda a, b: max(token_sort(a, b), token_set(a, b), initials(a, b)), left, right)
+
+
+def _parts(name: Column) -> Column:
+    """What :func:`near_pairs` compares: tokens, one-letter tokens, first letters, lengths, letters met once and twice."""
+    tokens = F.filter(F.split(name, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
+    one_more = lambda acc, bit: F.struct(acc["once"].bitwiseOR(bit).alias("once"), acc["twice"].bitwiseOR(acc["once"].bitwiseAND(bit)).alias("twice"))
+    letters = F.filter(F.split(F.array_join(tokens, ""), ""), lambda c: c != "")
+    none = F.struct(F.lit(0).cast("long").alias("once"), F.lit(0).cast("long").alias("twice"))
+    met = F.aggregate(letters, none, lambda acc, c: one_more(acc, F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+    return F.struct(
+        tokens.alias("tokens"), F.filter(tokens, lambda t: F.length(t) == 1).alias("short"), F.transform(tokens, lambda t: F.substring(t, 1, 1)).alias("firsts"),
+        F.length(F.array_join(tokens, " ")).alias("n"), F.length(F.array_join(F.array_distinct(tokens), " ")).alias("n_set"), met.alias("met"),
+    )
+
+
+def near_pairs(left: DataFrame, right: DataFrame, floor: float, unordered: bool = False) -> DataFrame:
+    """(l, r): pairs of ``left.l`` and ``right.r`` of which any of this module's scores may reach ``floor``; none that does is lost.
+
+    All pairs are looked at.  Names that share a token, or of which one has another's first letter as
+    a token, stay.  For all others every score is a ratio of whole names, which cannot reach the floor
+    if their lengths differ too far, or if more letters stand in one only (counted up to twice in 64
+    classes, which is never more than the letters to insert and delete).  ``unordered`` keeps l < r.
+    """
+    a = left.repartition(left.sparkSession.sparkContext.defaultParallelism).select("l", _parts(F.col("l")).alias("a")).where("size(a.tokens) > 0")
+    b = right.select("r", _parts(F.col("r")).alias("b")).where("size(b.tokens) > 0")
+    share = floor / 100 - 1e-9
+    fits = lambda n: 2 * F.least(f"a.{n}", f"b.{n}") >= share * (F.col(f"a.{n}") + F.col(f"b.{n}"))
+    apart = sum((F.bit_count(F.col(f"a.met.{k}").bitwiseXOR(F.col(f"b.met.{k}"))) for k in ("once", "twice")), F.lit(0))
+    repeats = (F.col("a.n") > F.col("a.n_set")) | (F.col("b.n") > F.col("b.n_set"))
+    whole = (fits("n") | fits("n_set")) & (repeats | (apart <= (1 - share) * (F.col("a.n") + F.col("b.n"))))
+    initial = F.arrays_overlap("a.short", "b.firsts") | F.arrays_overlap("b.short", "a.firsts")
+    kept = F.arrays_overlap("a.tokens", "b.tokens") | initial | whole
+    return a.crossJoin(b).where((F.col("l") < F.col("r")) & kept if unordered else kept).select("l", "r")

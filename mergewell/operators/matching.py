@@ -3,7 +3,8 @@
 Rules on shared keys are equi-joins on exploded keys.  Within a key's group every record is
 joined to the group's first one only, which connects the group with a row a record, so a key
 that very many records share costs no square; pairs proper come from ``all_pairs``.  Rules on
-similarity compare distinct name keys that share a token or an initial, not records.
+similarity compare distinct name keys, every pair of them, not records; pairs that cannot reach
+the threshold by their lengths and letters are not scored.
 """
 
 from __future__ import annotations
@@ -78,14 +79,17 @@ def key_matches(records: DataFrame, complete: bool = False) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def name_candidates(names: DataFrame) -> DataFrame:
-    """(l, r): distinct name keys that share a token, or of which one has another's token as an initial."""
-    tokens = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("token")).where("token <> ''")
-    initial = tokens.where(F.length("token") == 1).select("name", F.col("token").alias("i"))
-    same = tokens.alias("a").join(tokens.alias("b"), "token").select(F.col("a.name").alias("l"), F.col("b.name").alias("r"))
-    short = initial.join(tokens.select(F.col("name").alias("other"), F.substring("token", 1, 1).alias("i")), "i")
-    pairs = same.union(short.select(F.col("name").alias("l"), F.col("other").alias("r"))).union(short.select(F.col("other").alias("l"), F.col("name").alias("r")))
-    return pairs.distinct()
+def similar_names(names: DataFrame, floor: float, sort: bool) -> DataFrame:
+    """(l, r, s): every ordered pair of different names that scores ``floor`` or more; with ``sort`` by token sort too.
+
+    Only initials depend on the order, so a pair is scored once and stands both ways.
+    """
+    pairs = similarity.near_pairs(names.select(F.col("name").alias("l")), names.select(F.col("name").alias("r")), floor, unordered=True)
+    alike = similarity.token_set_ratio(F.col("l"), F.col("r"))
+    alike = F.greatest(alike, similarity.token_sort_ratio(F.col("l"), F.col("r"))) if sort else alike
+    scored = pairs.select("l", "r", alike.alias("s"), similarity.initials_score(F.col("l"), F.col("r")).alias("x"), similarity.initials_score(F.col("r"), F.col("l")).alias("y"))
+    way = lambda a, b, x: F.struct(F.col(a).alias("l"), F.col(b).alias("r"), F.greatest("s", x).alias("s"))
+    return scored.select(F.explode(F.array(way("l", "r", "x"), way("r", "l", "y"))).alias("p")).select("p.*").where(F.col("s") >= floor)
 
 
 def name_matches(records: DataFrame, threshold: float = NAME) -> DataFrame:
@@ -93,7 +97,7 @@ def name_matches(records: DataFrame, threshold: float = NAME) -> DataFrame:
     named = records.select("record_idx", S.name_key(F.col("full_name")).alias("name")).where("full_name is not null")
     equal = star(named.withColumnRenamed("name", "key")).withColumn("s", F.lit(100.0))
     distinct = named.groupBy("name").agg(F.min("record_idx").alias("first"), F.max("record_idx").alias("last"))
-    scored = name_candidates(distinct.where("name <> ''")).where("l <> r").withColumn("s", similarity.name_score(F.col("l"), F.col("r"))).where(F.col("s") >= threshold)
+    scored = similar_names(distinct.where("name <> ''"), threshold, sort=True)
     # the later record is the left one: any record of l against the first of r, where one comes later
     near = scored.join(distinct.select(F.col("name").alias("l"), F.col("last").alias("left")), "l").join(distinct.select(F.col("name").alias("r"), F.col("first").alias("right")), "r").where("left > right")
     pairs = equal.select("left", "right", "s").union(near.select("left", "right", "s"))
@@ -101,14 +105,18 @@ def name_matches(records: DataFrame, threshold: float = NAME) -> DataFrame:
 
 
 def blended_matches(records: DataFrame) -> DataFrame:
-    """Rules 7 and 8 on pairs that share a company's token or a skill, scored together with their names."""
-    base = records.select("record_idx", S.name_key(F.col("full_name")).alias("name"), companies().alias("companies"), skill_keys().alias("skills"))
-    sides = lambda pairs: pairs.join(base.select(F.col("record_idx").alias("left"), F.col("name").alias("ln"), F.col("companies").alias("lc"), F.col("skills").alias("ls")), "left").join(base.select(F.col("record_idx").alias("right"), F.col("name").alias("rn"), F.col("companies").alias("rc"), F.col("skills").alias("rs")), "right")
-    tokens = base.where("name <> ''").select("record_idx", F.explode(F.array_distinct(F.split("name", " "))).alias("key"))
-    both = sides(all_pairs(tokens).select("left", "right").distinct())
-    both = both.withColumn("n", F.greatest(similarity.token_set_ratio(F.col("ln"), F.col("rn")), similarity.initials_score(F.col("ln"), F.col("rn"))))
+    """Rules 7 and 8 on every pair whose names are alike enough to pass with equal companies or skills."""
+    base = records.select("record_idx", S.name_key(F.col("full_name")).alias("name"), companies().alias("companies"), skill_keys().alias("skills")).where("name <> ''")
+    distinct = base.select("name").distinct()
+    # the least name scores with which a company or skills of 100 reach the thresholds
+    floor = min((NAME_COMPANY - 35) / 0.65, (NAME_SKILLS - 30) / 0.7) - 1e-6
+    same = distinct.select(F.col("name").alias("l"), F.col("name").alias("r"), F.lit(100.0).alias("n"))
+    named = same.union(similar_names(distinct, floor, sort=False).withColumnRenamed("s", "n"))
+    side = lambda idx, name, p: base.select(F.col("record_idx").alias(idx), F.col("name").alias(name), F.col("companies").alias(f"{p}c"), F.col("skills").alias(f"{p}s"))
+    both = named.join(side("left", "l", "l"), "l").join(side("right", "r", "r"), "r").where(F.col("left") > F.col("right"))
     by_company = both.select("left", "right", "n", F.explode("lc").alias("a"), "rc").select("left", "right", "n", "a", F.explode("rc").alias("b"))
-    by_company = by_company.groupBy("left", "right", "n", "a", "b").count().withColumn("c", similarity.token_set_ratio(F.col("a"), F.col("b"))).groupBy("left", "right", "n").agg(F.max("c").alias("c"))
+    scores = by_company.select("a", "b").distinct().withColumn("c", similarity.token_set_ratio(F.col("a"), F.col("b")))
+    by_company = by_company.join(scores, ["a", "b"]).groupBy("left", "right", "n").agg(F.max("c").alias("c"))
     seven = by_company.withColumn("s", 0.65 * F.col("n") + 0.35 * F.col("c")).where(F.col("s") >= NAME_COMPANY)
     shared = F.size(F.array_intersect("ls", "rs"))
     eight = both.where(shared > 0).withColumn("s", 0.7 * F.col("n") + 0.3 * (100.0 * shared / F.least(F.size("ls"), F.size("rs")))).where(F.col("s") >= NAME_SKILLS)

@@ -175,9 +175,11 @@ def resume_matches(candidates: DataFrame, resumes: DataFrame) -> DataFrame:
 
     first = keys(candidates, "record_idx").groupBy("rule", "key").agg(F.min("record_idx").alias("record_idx"))
     hits = keys(resumes, "resume_idx").join(first, ["rule", "key"]).select("resume_idx", "rule", "record_idx", F.lit(0.0).alias("score"))
-    tokens = lambda df, idx, name: df.where("full_name is not null").select(F.col("record_idx").alias(idx), F.col("full_name").alias(name), F.explode(F.array_distinct(F.split("full_name", r"\s+"))).alias("t"))
-    named = tokens(resumes, "resume_idx", "a").join(tokens(candidates, "record_idx", "b"), "t").select("resume_idx", "record_idx", "a", "b").distinct()
-    fuzzy = named.withColumn("score", similarity.token_set_ratio(F.col("a"), F.col("b"))).where("score >= 90").select("resume_idx", F.lit(4).alias("rule"), "record_idx", "score")
+    names = lambda df, name: df.where("full_name is not null").select(F.col("full_name").alias(name)).distinct()
+    named = lambda df, idx, name: df.select(F.col("record_idx").alias(idx), F.col("full_name").alias(name))
+    near = similarity.near_pairs(names(resumes, "l"), names(candidates, "r"), 90.0)
+    near = near.withColumn("score", similarity.token_set_ratio(F.col("l"), F.col("r"))).where("score >= 90")
+    fuzzy = near.join(named(resumes, "resume_idx", "l"), "l").join(named(candidates, "record_idx", "r"), "r").select("resume_idx", F.lit(4).alias("rule"), "record_idx", "score")
     best = hits.union(fuzzy).groupBy("resume_idx").agg(F.min(F.struct("rule", -F.col("score"), "record_idx")).alias("m"))
     return best.select("resume_idx", F.col("m.record_idx").alias("record_idx"), F.col("m.rule").alias("rule"))
 
