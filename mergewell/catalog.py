@@ -41,15 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _merged(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> DataFrame:
+    """Merged records by the rules on shared keys, as the SQL of the queries states them; with ``fuzzy`` by all rules."""
     rows = normalize(records(spark, sf_dir))
-    clusters = clustering.components(rows, matching.matches(rows, fuzzy=False))
+    clusters = clustering.components(rows, matching.matches(rows, fuzzy))
     return scoring.score(merging.merge(rows, clusters, PRIORITIES))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified candidates with their confidence and validated JSON."""
-    result = run(records(spark, sf_dir), CONFIG, fuzzy=False)
+    result = run(records(spark, sf_dir), CONFIG)
     return result.output.select("cluster_id", "output", F.size("validation").alias("n_errors"))
 
 
@@ -196,12 +197,41 @@ def q_cluster_order(spark, sf_dir):
     return clustering.ordered(clustering.components(rows, matching.matches(rows, fuzzy=False)))
 
 
+@query()
+def q_match_all_rules(spark, sf_dir):
+    """Every pair by the first of all rules, similarity among them; here and below the measure is beyond SQL."""
+    found = matching.matches(normalize(records(spark, sf_dir)))
+    return found.select(F.col("left").alias("left_idx"), F.col("right").alias("right_idx"), "rule", "confidence")
+
+
+@query()
+def q_components_all_rules(spark, sf_dir):
+    rows = normalize(records(spark, sf_dir))
+    return clustering.components(rows, matching.matches(rows))
+
+
+@query()
+def q_cluster_order_all_rules(spark, sf_dir):
+    return clustering.ordered(q_components_all_rules(spark, sf_dir))
+
+
+@query()
+def q_merged_all_rules(spark, sf_dir):
+    """What the queries on merged records show, with clusters by all rules."""
+    return _merged(spark, sf_dir, fuzzy=True)
+
+
+@query()
+def q_merge_report_all_rules(spark, sf_dir):
+    return output.merge_report(normalize(records(spark, sf_dir)), q_components_all_rules(spark, sf_dir))
+
+
 @query()
 def q_name_similarity(spark, sf_dir):
-    """Pairs of suppliers' names and how alike they are; the measure is beyond SQL, tests hold it to worked values."""
+    """All pairs of suppliers' names and how alike they are; the measure is beyond SQL, tests hold it to worked values."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), S.name_key(F.col("s_name")).alias("n"))
-    both = s.alias("a").join(s.alias("b"), F.col("b.k") == F.col("a.k") + 1)
-    return both.select(F.col("a.k").alias("k"), similarity.name_score(F.col("a.n"), F.col("b.n")).alias("score"))
+    both = s.alias("a").join(s.alias("b"), F.col("a.k") < F.col("b.k"))
+    return both.select(F.col("a.k").alias("k"), F.col("b.k").alias("other"), similarity.name_score(F.col("a.n"), F.col("b.n")).alias("score"))
 
 
 # ---- merging, scoring, provenance
