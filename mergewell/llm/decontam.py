@@ -85,9 +85,12 @@ def _needed(window: Column, item: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, hashes, print) of items with a shingle; null, empty and shorter items match nothing."""
+    """(item_id, item, n, hashes, print) of items with a shingle; null, empty and shorter items match nothing.
+
+    ``item`` is a key that is never null, as an ``item_id`` may be.
+    """
     rows = benchmark.select("item_id", shingles_of(F.col("text")).alias("hashes"))
-    return rows.select("item_id", F.size("hashes").alias("n"), "hashes").where("n > 0").withColumn("print", simhash(F.col("hashes")))
+    return rows.select("item_id", F.xxhash64("item_id", "hashes").alias("item"), F.size("hashes").alias("n"), "hashes").where("n > 0").withColumn("print", simhash(F.col("hashes")))
 
 
 def _windows(hits: DataFrame) -> DataFrame:
@@ -115,7 +118,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``start`` counts words of letters and digits; among equal windows the first counts.  Null and
     empty texts hold nothing, rows equal in doc_id and text are one document, and an empty
-    benchmark or table gives an empty result.  Items with equal texts are all reported.
+    benchmark or table gives an empty result.  Items with equal texts are all reported; of items
+    with one id, null among them, the best window of any.
     """
     items = cut(items_of(benchmark), "items")
     sized = cut(items.select("n", F.explode(F.array_distinct("hashes")).alias("h")).distinct(), "item-shingles")
@@ -134,11 +138,11 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = cut(distinct.withColumn("print", simhash(F.col("w"))), "prints")
     probes = prints.select("n", "k1", "k2", "print", F.posexplode(F.array(*_blocks(F.col("print")))).alias("block", "value"))
     flips = F.array(*[F.lit(f) for f in _flips()])
-    index = items.select("n", "item_id", F.col("print").alias("of_item"), F.posexplode(F.array(*_blocks(F.col("print")))).alias("block", "own"))
-    index = cut(index.select("n", "item_id", "of_item", "block", F.explode(F.transform(flips, lambda f: F.col("own").bitwiseXOR(f))).alias("value")), "index")
+    index = items.select("n", "item", F.col("print").alias("of_item"), F.posexplode(F.array(*_blocks(F.col("print")))).alias("block", "own"))
+    index = cut(index.select("n", "item", "of_item", "block", F.explode(F.transform(flips, lambda f: F.col("own").bitwiseXOR(f))).alias("value")), "index")
     near = probes.join(if_small(index), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("of_item"))) <= RADIUS)
-    near = near.select("n", "k1", "k2", "item_id").distinct()
-    both = near.join(prints.select("n", "k1", "k2", "w"), ["n", "k1", "k2"]).join(if_small(items.select("item_id", "n", "hashes")), ["item_id", "n"])
+    near = near.select("n", "k1", "k2", "item").distinct()
+    both = near.join(prints.select("n", "k1", "k2", "w"), ["n", "k1", "k2"]).join(if_small(items.select("item_id", "item", "n", "hashes").distinct()), ["item", "n"])
     shared = overlap(F.col("w"), F.col("hashes"))
     scored = both.select("n", "k1", "k2", "item_id", let(shared, lambda o: o / (F.size("w") + F.size("hashes") - o)).alias("similarity"))
     passed = cut(scored.where(F.col("similarity") >= THRESHOLD), "passed")
