@@ -26,13 +26,50 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _running(xs: Column, op) -> Column:
+    """``op`` over all values up to each place.  Chunk by chunk, then over the chunks' ends, so that what is
+    copied stays near linear in the array's length."""
+
+    def within(a: Column) -> Column:
+        step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, op(F.get(acc, F.size(acc) - 1), x)).otherwise(x)))
+        return F.aggregate(a, F.array().cast("array<int>"), step)
+
+    def joined(chunks: Column) -> Column:
+        ends = within(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(chunks, lambda c, k: F.when(k == 0, c).otherwise(F.transform(c, lambda x: op(F.get(e, k - 1), x))))))
+
+    def cut_up(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(RUNNING_CHUNK))
+        return F.when(F.size(v) > 0, let(F.transform(starts, lambda s: within(F.slice(v, s, F.lit(RUNNING_CHUNK)))), joined)).otherwise(F.array().cast("array<int>"))
+
+    return let(xs, cut_up)
+
+
+#: Values of an array that are summed one by one before chunks are.
+RUNNING_CHUNK = 128
+
+
+def running_sum(xs: Column) -> Column:
+    """Sums of an array of ints up to each place."""
+    return _running(xs, lambda a, b: a + b)
+
+
+def running_top(xs: Column) -> Column:
+    """Largest of an array of ints up to each place."""
+    return _running(xs, F.greatest)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the session has it.
 
-    Only where the cluster names none (as in tests) is a local one made and set.
+    Only a session without executors of its own (as in tests) gets a local one where none is named;
+    on a cluster that is an error, as each machine would write to its own disk.
     """
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="mergewell-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
