@@ -5,11 +5,14 @@ documents: good ones serve as a holdout that bounds how many good documents a cu
 rejects.  A cutoff passes when the exact binomial tail says that a false-rejection rate of
 ``alpha`` or more is implausible: ``P(Bin(n, alpha) <= k) <= delta / tests`` for ``k`` of
 ``n`` good documents above it, which is the one-sided Clopper-Pearson bound turned round.
-``tests`` counts every (rule, stratum): Bonferroni across them, and fixed-sequence testing
-from the most lenient cutoff inwards within each, so the family-wise error stays at ``delta``.
-Of the cutoffs that pass, the one is taken that catches most bad documents less ``COST`` for
-each good one, the most lenient among equals, so nothing is rejected that buys too little.  A stratum with too few
-labels gets no cutoff and keeps all that the base rules keep.
+``tests`` counts every (rule, stratum) that there could be: Bonferroni across them, and fixed-sequence
+testing from the most lenient cutoff inwards within each, so the family-wise error stays at ``delta``.
+The rules of a stratum share ``alpha`` by ``SHARES``, which are set beforehand.
+A stratum with so few good labels that not even a cutoff which rejects none of them could pass is
+pooled with all others of that kind; the bound then holds for the pool.  Of the cutoffs that pass, the one
+is taken that catches most bad documents less ``(1 - alpha) / alpha`` for each good one, the most lenient among
+equals: so a good document weighs as many bad ones as keep wrong rejections under ``alpha`` of all rejections.
+A stratum without any label, and a pool with too few, gets no cutoff and keeps all that the base rules keep.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from mergewell.llm.common import cut, if_small, let, words_of
 
 #: Share of good documents that all rules of a stratum together may reject, and the chance to be wrong about it.
 ALPHA, DELTA = 0.05, 0.05
-#: Bad documents that a cutoff must catch to make up for a good one.
-COST = 20
 #: Cutoffs are tried on this many even steps of each rule's score (0 to 1).
 STEPS = 50
 RULES = ("symbols", "capitals", "dup_lines", "shouts")
+#: How the rules share ``alpha``.
+SHARES = {"symbols": 0.4, "capitals": 0.2, "dup_lines": 0.2, "shouts": 0.2}
 
 
 def window_hashes(words: Column, size: int = 5) -> Column:
@@ -85,48 +88,55 @@ def with_features(df: DataFrame) -> DataFrame:
     return df.drop("_w", "_l")
 
 
-def _log_choose_tail(n: Column, k: Column, alpha: float) -> Column:
+def _log_choose_tail(n: Column, k: Column, alpha: Column) -> Column:
     """P(Bin(n, alpha) <= k), summed term by term: t_0 = (1-a)^n, t_j = t_(j-1) (n-j+1)/j a/(1-a), in logarithms."""
-    start = n * F.log(F.lit(1.0 - alpha))
-    ratio = float(alpha / (1.0 - alpha))
+    start = n * F.log(1 - alpha)
+    ratio = alpha / (1 - alpha)
     zero = F.struct(start.alias("t"), F.exp(start).alias("sum"))
 
     def step(acc, j):
-        t = acc["t"] + F.log((n - j + F.lit(1)) / j.cast("double") * F.lit(ratio))
+        t = acc["t"] + F.log((n - j + F.lit(1)) / j.cast("double") * ratio)
         return F.struct(t.alias("t"), (acc["sum"] + F.exp(t)).alias("sum"))
 
     return F.when(k <= 0, F.exp(start)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), zero, step, lambda a: a["sum"]))
 
 
+def pools(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, pool, tests) of strata with a label: a pool of its own where its good labels suffice for some cutoff, else the common one."""
+    sizes = labelled.groupBy("stratum").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("n"))
+    tests = F.lit(len(RULES)) * (F.count(F.lit(1)).over(Window.partitionBy()) + 1)
+    least = F.log(F.lit(float(delta)) / F.col("tests")) / F.log(F.lit(1.0 - alpha * max(SHARES.values())))
+    pool = F.when(F.col("n") >= least, F.concat(F.lit("="), "stratum")).otherwise(F.lit("(pooled)"))
+    return sizes.withColumn("tests", tests).select("stratum", pool.alias("pool"), "tests")
+
+
 def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, steps: int = STEPS) -> DataFrame:
     """(stratum, rule, cutoff) of every rule that has one, from rows of (stratum, quality, the rules' scores).
 
     Scores are counted into ``steps`` + 1 levels before anything is moved, so what is shuffled
     is a count per (stratum, rule, level), whatever the number of labels.  A document is above
-    level c if its score exceeds c / steps.  ``alpha`` is shared evenly among the rules, so
-    that together they keep to it.
+    level c if its score exceeds c / steps.
     """
-    long = labelled.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES])).alias("x"))
+    long = labelled.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score"), F.lit(alpha * SHARES[r]).alias("own_alpha")) for r in RULES])).alias("x"))
     level = F.greatest(F.ceil(F.col("x.score") * F.lit(steps)) - 1, F.lit(-1)).cast("int")
-    counts = long.groupBy("stratum", F.col("x.rule").alias("rule"), level.alias("level")).agg(
+    counts = long.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.own_alpha").alias("own_alpha"), level.alias("level")).agg(
         F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad")
     )
-    above = Window.partitionBy("stratum", "rule").orderBy(F.col("level").desc())
-    whole = Window.partitionBy("stratum", "rule")
-    tests = F.size(F.collect_set(F.struct("stratum", "rule")).over(Window.partitionBy()))
-    per_rule = float(alpha / len(RULES))
+    pooled = cut(pools(labelled, alpha, delta), "pools")
+    counts = counts.join(pooled, "stratum").groupBy("pool", "tests", "rule", "own_alpha", "level").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    above = Window.partitionBy("pool", "rule").orderBy(F.col("level").desc())
+    whole = Window.partitionBy("pool", "rule")
     graded = (
         counts.withColumn("k", F.sum("good").over(above))
         .withColumn("caught", F.sum("bad").over(above))
         .withColumn("n", F.sum("good").over(whole))
-        .withColumn("tests", tests)
         .where("level >= 0 and n > 0")
-        .withColumn("passes", (F.col("k") < F.col("n") * F.lit(per_rule)) & (_log_choose_tail(F.col("n"), F.col("k"), per_rule) <= F.lit(float(delta)) / F.col("tests")))
+        .withColumn("passes", (F.col("k") < F.col("n") * F.col("own_alpha")) & (_log_choose_tail(F.col("n"), F.col("k"), F.col("own_alpha")) <= F.lit(float(delta)) / F.col("tests")))
         .withColumn("passes", F.min(F.col("passes").cast("int")).over(above) == 1)
     )
-    gain = F.col("caught") - F.lit(COST) * F.col("k")
-    best = graded.where(F.col("passes") & (gain > 0)).groupBy("stratum", "rule").agg(F.max(F.struct(gain.alias("gain"), "level"))["level"].alias("level"))
-    return best.select("stratum", "rule", (F.col("level") / F.lit(float(steps))).alias("cutoff"))
+    gain = F.col("caught") - F.lit((1 - alpha) / alpha) * F.col("k")
+    best = graded.where(F.col("passes") & (gain > 0)).groupBy("pool", "rule").agg(F.max(F.struct(gain.alias("gain"), "level"))["level"].alias("level"))
+    return pooled.join(best, "pool").select("stratum", "rule", (F.col("level") / F.lit(float(steps))).alias("cutoff"))
 
 
 def bars(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -182,6 +192,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every whole text of ``documents``, cutoffs learnt from ``labels``.
+
+    Null and empty texts have no words and fail; documents with a null id teach nothing but are judged;
+    repeated rows each give a row; with empty labels the base rules alone decide; other columns are not read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     scored = cut(with_stratum(with_features(docs)).select("doc_id", "stratum", *COUNTS, "base_failed", *RULES), "scores")
@@ -218,22 +233,26 @@ WITH d AS (
   SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)
 ), u AS (
   UNPIVOT (SELECT doc_id, stratum, base_failed, symbols, capitals, dup_lines, shouts FROM s) ON symbols, capitals, dup_lines, shouts INTO NAME rule VALUE score
+), p AS (
+  SELECT stratum, {len(RULES)} * (count(*) OVER () + 1) AS tests,
+    CASE WHEN count(*) FILTER (quality = 1) >= ln({DELTA}::DOUBLE / ({len(RULES)} * (count(*) OVER () + 1))) / ln(1 - {ALPHA * max(SHARES.values())}::DOUBLE) THEN '=' || stratum ELSE '(pooled)' END AS pool
+  FROM s JOIN l ON l.doc_id = s.doc_id WHERE NOT base_failed GROUP BY stratum
 ), k AS (
-  SELECT stratum, rule, greatest(ceil(score * {STEPS}) - 1, -1)::INT AS level, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad
-  FROM u JOIN l ON l.doc_id = u.doc_id WHERE NOT base_failed GROUP BY ALL
+  SELECT pool, tests, rule, CASE rule {" ".join(f"WHEN '{r}' THEN {ALPHA * x}::DOUBLE" for r, x in SHARES.items())} END AS own, greatest(ceil(score * {STEPS}) - 1, -1)::INT AS level,
+    count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad
+  FROM u JOIN l ON l.doc_id = u.doc_id JOIN p ON p.stratum = u.stratum WHERE NOT base_failed GROUP BY ALL
 ), a AS (
-  SELECT stratum, rule, level, sum(good) OVER w AS k, sum(bad) OVER w AS caught, sum(good) OVER (PARTITION BY stratum, rule) AS n,
-    (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM k)) AS tests
-  FROM k WINDOW w AS (PARTITION BY stratum, rule ORDER BY level DESC)
+  SELECT pool, tests, rule, own, level, sum(good) OVER w AS k, sum(bad) OVER w AS caught, sum(good) OVER (PARTITION BY pool, rule) AS n
+  FROM k WINDOW w AS (PARTITION BY pool, rule ORDER BY level DESC)
 ), b AS (
-  SELECT *, k < n * {ALPHA / len(RULES)} AND (
-    SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA / len(RULES)}::DOUBLE) + (n - j) * ln(1 - {ALPHA / len(RULES)}::DOUBLE)))
+  SELECT *, k < n * own AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(own) + (n - j) * ln(1 - own)))
     FROM (SELECT unnest(range(0, k::BIGINT + 1)) AS j)) <= {DELTA}::DOUBLE / tests AS ok
   FROM a WHERE level >= 0 AND n > 0
 ), q AS (
-  SELECT stratum, rule, level, caught - {COST} * k AS gain, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY level DESC) AS ok FROM b
+  SELECT pool, rule, level, caught - {(1 - ALPHA) / ALPHA}::DOUBLE * k AS gain, bool_and(ok) OVER (PARTITION BY pool, rule ORDER BY level DESC) AS ok FROM b
 ), r AS (
-  SELECT stratum, rule, arg_max(level, (gain, level)) / {STEPS}::DOUBLE AS cutoff FROM q WHERE ok AND gain > 0 GROUP BY stratum, rule
+  SELECT p.stratum, rule, arg_max(level, (gain, level)) / {STEPS}::DOUBLE AS cutoff FROM q JOIN p ON p.pool = q.pool WHERE ok AND gain > 0 GROUP BY p.stratum, rule
 ), x AS (
   SELECT DISTINCT u.doc_id FROM u JOIN r ON r.stratum = u.stratum AND r.rule = u.rule WHERE u.score > r.cutoff
 )
