@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -94,16 +95,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-#: A side of a join is broadcast only if it was counted and has so many rows at most.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if what it holds was measured and is so much at most.
+BROADCAST_BYTES = 8 << 20
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcasting if its rows, counted now, are few; else joins shuffle.
+def _bytes_of(c: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        flat = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType))
+        each = F.size(c) * 8 if flat else F.aggregate(c, F.lit(0), lambda acc, x: acc + _bytes_of(x, kind.elementType).cast("int"))
+        return F.coalesce(each, F.lit(0)) + 24
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
 
-    For narrow rows of keys and numbers that are cheap to count, as written tables are.
+
+def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcasting if its rows, measured now, take few bytes; else joins shuffle.
+
+    For frames that are cheap to read, as written tables are.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    each = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24))
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("b")).first()["b"] <= most else df
 
 
 def discard(df: DataFrame) -> None:

@@ -1,15 +1,16 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations only.
 
-Texts become words of letters and digits in lower case, and five-word shingles.  Benchmark items
-of N shingles are set against document windows of N shingles (the whole document if it has
-fewer).  Weighted-shingle similarity (smaller counts over larger ones) of 0.8 needs 8/9 of an
-item's shingles in the window, so windows are taken only where that many of the shingles of
-items of that size stand: all other windows are below the threshold for certain.  Equal
-windows are one.  A window's SimHash sums its shingles' hash bits; the index cuts 64 bits into
-8 blocks and holds each item under every block value within 2 bits of its own, and two
-fingerprints at most 23 bits apart agree within 2 bits on a block at least, so looking up the
-window's own 8 values meets all items within the radius.  At 0.8 the expected distance is 10 bits
-(deviation 2.9); the radius stands 4.6 deviations above.  Exact similarity decides at last.
+Texts become words of letters and digits in lower case, and five-word shingles.  Benchmark items of N
+shingles are set against document windows of N shingles (the whole document if it has fewer).  Only
+windows that hold a shingle of an item of that size are looked at: no other one is similar to any.
+
+A window's fingerprint is SimHash: 12 blocks of 18 bits, each bit the majority of that bit among the
+hashes of the window's shingles.  The index holds each item under every block value within 2 bits of
+its own, so a look-up of a window's own 12 values meets every item within ``RADIUS`` = 35 bits of the 216
+for certain, and a random pair with probability 12 * 172 / 2**18 = 0.8 %.  At a similarity of 0.8
+the expected distance is 33 bits and a pair meets with probability 0.9997, as 12 blocks are tried; all that
+meet are verified, whatever their distance.  Exact weighted-shingle similarity (smaller counts over larger
+ones) decides at last.  Items of one to four words are one shingle, which a document must hold exactly.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ from pyspark.sql import functions as F
 from mergewell.llm.common import WORD_GAP, cut, if_small, let
 
 SHINGLE, THRESHOLD = 5, 0.8
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
+#: A fingerprint is ``WORDS`` longs of ``PER_WORD`` blocks each.
+WORDS, PER_WORD, BLOCK_BITS, BLOCK_RADIUS = 4, 3, 18, 2
+BLOCKS = WORDS * PER_WORD
 #: Fingerprints within this distance share a block up to BLOCK_RADIUS bits for certain.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+#: Shingles that 16-bit counters can count.
+NARROW = 2**16 - 1
 
 
 def plain_words(text: Column) -> Column:
@@ -44,28 +49,41 @@ def shingles_of(text: Column) -> Column:
     return let(plain_words(text), hashes)
 
 
-def simhash(hashes: Column) -> Column:
-    """64 bits, each the majority of that bit among the hashes.
+def _right(x: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, by)
+
 
-    Sixteen longs of four 16-bit lanes count all bits at once; up to 65,535 shingles fit.
+def _majority(hashes: Column, salt: int, lane: int) -> Column:
+    """``PER_WORD`` blocks of bits, each the majority of that bit among the salted hashes; counters of ``lane`` bits, several in a long.
+
+    Bit g + lane * k of the hashes is counted in the k-th counter of the g-th long.
     """
-    mask = F.lit(0x0001000100010001)
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"f{g}") for g in range(16)])
-    counted = F.aggregate(hashes, zero, lambda acc, h: F.struct(*[(acc[f"f{g}"] + F.shiftrightunsigned(h, g).bitwiseAND(mask)).alias(f"f{g}") for g in range(16)]))
+    bits, per = PER_WORD * BLOCK_BITS, 64 // lane
+    groups = -(-bits // per)
+    mask = F.lit(sum(1 << lane * k for k in range(per)))
+    zero = F.array_repeat(F.lit(0).cast("long"), groups)
+    counted = F.aggregate(F.transform(hashes, lambda h: F.xxhash64(F.lit(salt), h)), zero, lambda acc, h: F.transform(acc, lambda x, g: x + _right(h, g).bitwiseAND(mask)))
+
+    def out(c: Column) -> Column:
+        def add(acc: Column, at: Column) -> Column:
+            n = _right(F.get(c, at % groups), F.lit(lane) * F.floor(at / groups).cast("int")).bitwiseAND(F.lit(2**lane - 1))
+            return acc.bitwiseOR(F.when(2 * n > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
 
-    def bits(c: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for g in range(16):
-            for lane in range(4):
-                n = F.shiftrightunsigned(c[f"f{g}"], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-                out = out.bitwiseOR(F.when(2 * n > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), g + 16 * lane)).otherwise(F.lit(0).cast("long")))
-        return out
+        return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), add)
 
-    return let(counted, bits)
+    return let(counted, out)
+
+
+def simhash(hashes: Column) -> Column:
+    """array<long>: ``WORDS`` longs of majority bits; wider counters for more shingles than narrow ones can count."""
+    of = lambda lane: F.array(*[_majority(hashes, salt, lane) for salt in range(1, WORDS + 1)])
+    return F.when(F.size(hashes) <= NARROW, of(16)).otherwise(of(32))
 
 
-def _blocks(fingerprint: Column) -> list[Column]:
-    return [F.shiftrightunsigned(fingerprint, BLOCK_BITS * b).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).cast("int") for b in range(BLOCKS)]
+def _blocks(fingerprint: Column) -> Column:
+    """The values of all blocks in order."""
+    parts = [F.shiftrightunsigned(F.get(fingerprint, w), BLOCK_BITS * b).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).cast("int") for w in range(WORDS) for b in range(PER_WORD)]
+    return F.array(*parts)
 
 
 def _flips() -> list[int]:
@@ -74,18 +92,21 @@ def _flips() -> list[int]:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Sum of the smaller counts of two arrays' common values."""
-    copies = lambda v, x: F.size(v) - F.size(F.array_remove(v, x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(copies(a, x), copies(b, x)))
+    """Sum of the smaller counts of two arrays' common values.
+
+    Each common value counts once, by a hash set; only those that both hold repeatedly are counted one by one.
+    """
 
+    def repeated(v: Column) -> Column:
+        return let(F.sort_array(v), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))
 
-def _needed(window: Column, item: Column) -> Column:
-    """The least overlap with which windows and items of these sizes reach the threshold."""
-    return F.ceil((window + item) * F.lit(THRESHOLD / (1 + THRESHOLD)) - F.lit(1e-9)).cast("int")
+    copies = lambda v, x: F.size(v) - F.size(F.array_remove(v, x))
+    more = F.aggregate(F.array_intersect(repeated(a), repeated(b)), F.lit(0), lambda acc, x: acc + F.least(copies(a, x), copies(b, x)) - 1)
+    return F.size(F.array_intersect(a, b)) + F.when((F.size(F.array_distinct(a)) < F.size(a)) & (F.size(F.array_distinct(b)) < F.size(b)), more).otherwise(0)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item, n, hashes, print) of items with a shingle; null, empty and shorter items match nothing.
+    """(item_id, item, n, hashes, print) of items with a five-word shingle; null and empty items match nothing.
 
     ``item`` is a key that is never null, as an ``item_id`` may be.
     """
@@ -94,23 +115,46 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def _windows(hits: DataFrame) -> DataFrame:
-    """(d, th, runs) from hits (d, th, m, n, p): array of (s, l, n), windows that hold enough hits.
+    """(d, th, runs) from hits (d, th, m, n, p): array of (s, n), start and size of the windows that hold a hit.
 
-    A document's hits of one size are sorted; a window whose first hit is the i-th holds ``c`` hits
-    if the (i+c-1)-th lies in it, which leaves a range of starts to each i.
+    A document's hits of one size are sorted; the windows whose first hit is the i-th are a range of starts.
+    A document of fewer shingles than ``n`` is one window.
     """
-    grouped = hits.groupBy("d", "th", "m", "n").agg(F.sort_array(F.collect_set("p")).alias("ps"))
-    grouped = grouped.withColumn("l", F.least("m", "n")).withColumn("c", _needed(F.col("l"), F.col("n")))
+    grouped = hits.groupBy("d", "th", "m", "n").agg(F.sort_array(F.collect_set("p")).alias("ps")).withColumn("l", F.least("m", "n"))
 
     def starts(p: Column, i: Column) -> Column:
-        last = F.get(F.col("ps"), i + F.col("c") - 1)
-        low = F.greatest(F.lit(0), last - F.col("l") + 1, F.when(i > 0, F.get(F.col("ps"), i - 1) + 1).otherwise(F.lit(0)))
+        low = F.greatest(F.lit(0), p - F.col("l") + 1, F.when(i > 0, F.get(F.col("ps"), i - 1) + 1).otherwise(F.lit(0)))
         high = F.least(p, F.col("m") - F.col("l"))
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
     runs = F.flatten(F.transform(F.col("ps"), starts))
-    rows = grouped.select("d", "th", F.transform(runs, lambda s: F.struct(s.alias("s"), F.col("l").alias("l"), F.col("n").alias("n"))).alias("runs"))
-    return rows.where(F.size("runs") > 0)
+    rows = grouped.select("d", "th", F.transform(runs, lambda s: F.struct(s.alias("s"), F.col("n").alias("n"))).alias("runs"))
+    return rows.where(F.size("runs") > 0).groupBy("d", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def _opened(docs: DataFrame, where: DataFrame) -> DataFrame:
+    """(doc_id, th, s, n, w): the shingles of each window in ``where`` (d, th, runs)."""
+    keyed = if_small(where.withColumnsRenamed({"d": "_d", "th": "_th"}))
+    held = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(keyed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th")))
+    held = held.select("doc_id", "th", shingles_of(F.col("text")).alias("hs"), "runs")
+    cutout = F.transform("runs", lambda r: F.struct(r["s"].alias("s"), r["n"].alias("n"), F.slice(F.col("hs"), r["s"] + 1, r["n"]).alias("w")))
+    return held.select("doc_id", "th", F.explode(cutout).alias("x")).select("doc_id", "th", "x.s", "x.n", "x.w")
+
+
+def _short(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """(doc_id, th, item_id, s, similarity) of items of one to four words; None where there are none."""
+    few = benchmark.select("item_id", plain_words(F.col("text")).alias("w")).where(F.size("w").between(1, SHINGLE - 1))
+    items = cut(few.select("item_id", F.size("w").alias("k"), F.concat_ws(" ", "w").alias("words")).distinct(), "short-items")
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())
+    if not sizes:
+        return None
+
+    def grams(words: Column) -> Column:
+        of = lambda k: F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda s: F.struct(s.alias("s"), F.array_join(F.slice(words, s + 1, F.lit(k)), " ").alias("words")))
+        return F.flatten(F.array(*[F.when(F.size(words) >= k, of(k)).otherwise(F.array().cast("array<struct<s:int,words:string>>")) for k in sizes]))
+
+    spread = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(let(plain_words(F.col("text")), grams)).alias("x")).select("doc_id", "th", "x.s", "x.words")
+    return spread.join(if_small(items.select("item_id", "words")), "words").groupBy("doc_id", "th", "item_id").agg(F.min("s").alias("s")).select("doc_id", "th", "item_id", "s", F.lit(1.0).alias("similarity"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -121,43 +165,43 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark or table gives an empty result.  Items with equal texts are all reported; of items
     with one id, null among them, the best window of any.
     """
+    docs = docs.select("doc_id", "text")
     items = cut(items_of(benchmark), "items")
     sized = cut(items.select("n", F.explode(F.array_distinct("hashes")).alias("h")).distinct(), "item-shingles")
     shingled = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), shingles_of(F.col("text")).alias("hs"))
     spread = shingled.select("d", "th", F.size("hs").alias("m"), F.posexplode("hs").alias("p", "h"))
     hits = spread.join(if_small(sized), "h").select("d", "th", "m", "n", "p")
-    where = cut(_windows(hits).groupBy("d", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")), "windows")
-    keyed = if_small(where.withColumnsRenamed({"d": "_d", "th": "_th"}))
-    held = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(keyed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th")))
-    held = held.select("doc_id", "th", shingles_of(F.col("text")).alias("hs"), "runs")
-    cutout = F.transform("runs", lambda r: F.struct(r["s"].alias("s"), r["n"].alias("n"), F.slice(F.col("hs"), r["s"] + 1, r["l"]).alias("w")))
-    opened = held.select("doc_id", "th", F.explode(cutout).alias("x")).select("doc_id", "th", "x.s", "x.n", "x.w")
-    key = [F.xxhash64(F.lit(k), "w").alias(f"k{k}") for k in (1, 2)]
-    opened = cut(opened.select("doc_id", "th", "s", "n", "w", *key), "opened")
-    distinct = opened.groupBy("n", "k1", "k2").agg(F.first("w").alias("w"))
-    prints = cut(distinct.withColumn("print", simhash(F.col("w"))), "prints")
-    probes = prints.select("n", "k1", "k2", "print", F.posexplode(F.array(*_blocks(F.col("print")))).alias("block", "value"))
+    where = cut(_windows(hits), "windows")
+    prints = cut(_opened(docs, where).select("doc_id", "th", "s", "n", simhash(F.col("w")).alias("print")), "prints")
+    probes = prints.select("n", "print").distinct().select("n", "print", F.posexplode(_blocks(F.col("print"))).alias("block", "value"))
     flips = F.array(*[F.lit(f) for f in _flips()])
-    index = items.select("n", "item", F.col("print").alias("of_item"), F.posexplode(F.array(*_blocks(F.col("print")))).alias("block", "own"))
-    index = cut(index.select("n", "item", "of_item", "block", F.explode(F.transform(flips, lambda f: F.col("own").bitwiseXOR(f))).alias("value")), "index")
-    near = probes.join(if_small(index), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("of_item"))) <= RADIUS)
-    near = near.select("n", "k1", "k2", "item").distinct()
-    both = near.join(prints.select("n", "k1", "k2", "w"), ["n", "k1", "k2"]).join(if_small(items.select("item_id", "item", "n", "hashes").distinct()), ["item", "n"])
+    index = items.select("n", "item", F.posexplode(_blocks(F.col("print"))).alias("block", "own"))
+    index = cut(index.select("n", "item", "block", F.explode(F.transform(flips, lambda f: F.col("own").bitwiseXOR(f))).alias("value")).distinct(), "index")
+    near = cut(probes.join(if_small(index), ["n", "block", "value"]).select("n", "print", "item").distinct(), "near")
+    likely = prints.join(if_small(near.select("n", "print").distinct()), ["n", "print"], "left_semi")
+    places = likely.groupBy(F.col("doc_id").alias("d"), "th").agg(F.collect_set(F.struct("s", "n")).alias("runs"))
+    key = [F.xxhash64(F.lit(k), "w").alias(f"k{k}") for k in (1, 2)]
+    opened = cut(_opened(docs, cut(places, "places")).select("doc_id", "th", "s", "n", "w", *key, simhash(F.col("w")).alias("print")), "opened")
+    distinct = opened.groupBy("n", "k1", "k2").agg(F.first("w").alias("w"), F.first("print").alias("print"))
+    both = distinct.join(if_small(near), ["n", "print"]).join(if_small(items.select("item_id", "item", "n", "hashes").distinct()), ["item", "n"])
     shared = overlap(F.col("w"), F.col("hashes"))
     scored = both.select("n", "k1", "k2", "item_id", let(shared, lambda o: o / (F.size("w") + F.size("hashes") - o)).alias("similarity"))
     passed = cut(scored.where(F.col("similarity") >= THRESHOLD), "passed")
-    found = opened.select("doc_id", "th", "s", "n", "k1", "k2").join(passed, ["n", "k1", "k2"])
+    found = opened.select("doc_id", "th", "s", "n", "k1", "k2").join(if_small(passed), ["n", "k1", "k2"]).select("doc_id", "th", "item_id", "s", "similarity")
+    short = _short(docs, benchmark)
+    found = found if short is None else found.union(short)
     best = found.groupBy("doc_id", "th", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("x"), F.col("s").alias("s"))).alias("b"))
     return best.select("doc_id", "th", "item_id", F.col("b.s").cast("long").alias("start"), (-F.col("b.x")).alias("similarity"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents of (doc_id, text, ...) that hold no benchmark item."""
+    """Documents of (doc_id, text, ...) that hold no benchmark item; repeated rows stay or go together, null texts stay."""
     leaks = if_small(cut(find(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct(), "leaks"))
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
 
 
 def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which whole texts of ``documents`` hold which items of ``benchmark``; edge cases as in :func:`find`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "item_id", "start", "similarity")
 
