@@ -292,7 +292,7 @@ SELECT k * 4 AS cluster_id, 'emails' AS field, label AS source, 'emails' AS sour
 UNION ALL SELECT k * 4, 'phones', label, 'phones' FROM p WHERE kind IN ('csv', 'resume')
 UNION ALL SELECT k * 4, 'skills', label, CASE kind WHEN 'csv' THEN 'skills' ELSE 'languages' END FROM p WHERE kind IN ('csv', 'github')""")
 def q_provenance(spark, sf_dir):
-    return scoring.provenance(_merged(spark, sf_dir)).where("field in ('emails', 'phones', 'skills')").select("cluster_id", "field", "source", "source_key")
+    return scoring.provenance_rows(_merged(spark, sf_dir)).where("field in ('emails', 'phones', 'skills')").select("cluster_id", "field", "source", "source_key")
 
 
 # ---- output

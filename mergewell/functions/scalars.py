@@ -81,18 +81,43 @@ def squeeze(c: Column) -> Column:
     return strip_ws(F.regexp_replace(c, r"\s+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def distinct_by(items: Column, key) -> Column:
+    """Ordered distinct by a key; the first of equal keys stays.  Linear unless keys repeat."""
+
+    def firsts(keys: Column) -> Column:
+        some = F.transform(F.array_distinct(keys), lambda k: F.get(items, (F.array_position(keys, k) - 1).cast("int")))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), items).otherwise(some)
+
+    return let(F.transform(items, key), firsts)
+
+
 def dedup_ci(items: Column) -> Column:
     """Ordered distinct without regard to case; the first spelling stays."""
-    keys = F.transform(items, fold)
-    return F.filter(items, lambda x, i: F.array_position(keys, fold(x)) == i + 1)
+    return distinct_by(items, fold)
+
+
+def json_text(c: Column) -> Column:
+    """A string as a JSON text, quoted; null stays null."""
+    whole = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
+
+
+def base_name(path: Column) -> Column:
+    """A path's last part."""
+    return F.element_at(F.split(path, r"[/\\]"), -1)
 
 
 def email(c: Column) -> Column:
-    """Lower-cased address, or null if it is malformed."""
+    """Lower-cased address, or null if it is malformed; the pattern is a fixed value."""
     v = F.lower(strip_ws(c))
     shape = v.rlike(r"^[a-z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-z0-9-]+(\.[a-z0-9-]+)+$")
     local, domain = F.split_part(v, F.lit("@"), F.lit(1)), F.split_part(v, F.lit("@"), F.lit(2))
-    bad = local.rlike(r"^\.|\.$|\.\.") | domain.rlike(r"(^|\.)-|-(\.|$)") | ~domain.rlike(r"\.[a-z0-9-]{2,}$")
+    bad = local.rlike(r"^\.|\.$|\.\.") | domain.rlike(r"(^|\.)-|-(\.|$)")
     return F.when(shape & ~bad, v)
 
 
@@ -199,7 +224,7 @@ def name_key(c: Column) -> Column:
 
 def file_key(c: Column) -> Column:
     """A path's last part, caseless."""
-    return fold(F.element_at(F.split(c, r"[/\\]"), -1))
+    return F.nullif(fold(base_name(strip_ws(c))), F.lit(""))
 
 
 def json_key(c: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergewell.functions import scalars as S
+from mergewell.schema import OBJECT_LISTS
 from mergewell.sources.records import as_records, checked, source
 
 # What results must equal.
@@ -39,16 +42,17 @@ def _header(line: Column) -> Column:
     return out
 
 
-def section(lines: Column, name: str) -> Column:
-    """A section's lines; what stands before the first header belongs to none."""
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+def heads(lines: Column) -> Column:
+    """The header lines in order: struct(at, name, upto), the last being where the next one stands."""
+    found = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), _header(x).alias("name"))), lambda h: h["name"].isNotNull())
+    upto = lambda h, k: F.coalesce(F.get(h, k + 1)["at"], F.size(lines))
+    return S.let(found, lambda h: F.transform(h, lambda x, k: F.struct(x["at"].alias("at"), x["name"].alias("name"), upto(h, k).alias("upto"))))
 
-    def step(acc: Column, line: Column) -> Column:
-        head = _header(line)
-        inside = head.isNull() & (acc["now"] == name)
-        return F.struct(F.coalesce(head, acc["now"]).alias("now"), F.when(inside, F.concat(acc["out"], F.array(line))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+def section(lines: Column, name: str, of: Column | None = None) -> Column:
+    """A section's lines; what stands before the first header belongs to none.  ``of`` are the lines' :func:`heads`, if at hand."""
+    mine = F.filter(heads(lines) if of is None else of, lambda h: h["name"] == name)
+    return F.flatten(F.transform(mine, lambda h: F.slice(lines, h["at"] + 2, h["upto"] - h["at"] - 1)))
 
 
 def emails(text: Column) -> Column:
@@ -77,26 +81,38 @@ def _object(**fields: Column) -> Column:
 
 
 def experience(lines: Column) -> Column:
+    """Entries of lines of four characters or more: raw, duration, start, end, and title and company where " at " parts them."""
+
     def one(x: Column) -> Column:
-        when = F.nullif(F.regexp_extract(x, DURATION, 1), F.lit(""))
-        until = F.nullif(F.regexp_extract(x, DURATION, 2), F.lit(""))
-        rest = F.regexp_replace(F.regexp_replace(x, DURATION, ""), r"^[\s,|()-]+|[\s,|()-]+$", "")
-        parts = F.split(rest, r"(?i)\s+at\s+", 2)
-        two = F.size(parts) == 2
-        return _object(title=F.when(two, F.get(parts, 0)), company=F.when(two, F.get(parts, 1)).otherwise(rest), start_date=S.date(when), end_date=S.date(until), raw=x)
+        empty = lambda c: F.nullif(c, F.lit(""))
+        until = F.regexp_extract(x, DURATION, 2)
+        parts = F.split(x, r"(?i)\s+at\s+", 2)
+        two = F.lower(x).contains(" at ")
+        title = F.regexp_replace(F.get(parts, 0), "^[ -]+|[ -]+$", "")
+        company = S.strip_ws(F.get(F.split(F.get(parts, 1), " - ", 2), 0))
+        return _object(
+            raw=x, duration=empty(F.regexp_extract(x, DURATION, 0)), start=S.date(empty(F.regexp_extract(x, DURATION, 1))),
+            end=F.when(~F.lower(until).isin("present", "current", "now"), S.date(empty(until))), title=F.when(two, title), company=F.when(two, company),
+        )
+
+    return F.transform(F.slice(F.filter(lines, lambda x: F.length(x) >= 4), 1, 10), one)
+
 
-    return F.slice(F.transform(F.filter(lines, lambda x: F.length(x) >= 4), one), 1, 10)
+#: Fixed value.
+DEGREE = r"(?i)\b(?:B\.?S\.?|M\.?S\.?|BTech|MTech|Bachelor|Master|MBA|PhD)\b[^,;-]*"
 
 
 def education(lines: Column) -> Column:
-    degree = r"(?i)\b(B\.?Tech|M\.?Tech|Bachelor[^,]*|Master[^,]*|B\.?Sc|M\.?Sc|MBA|Ph\.?D)"
-    empty = lambda c: F.nullif(c, F.lit(""))
-    one = lambda x: _object(institution=S.strip_ws(F.get(F.split(x, r",| - ", 2), 0)), degree=empty(F.regexp_extract(x, degree, 1)), graduation_year=empty(F.regexp_extract(x, f"({YEAR})", 1)), raw=x)
-    return F.slice(F.transform(F.filter(lines, lambda x: F.length(x) >= 3), one), 1, 5)
+    """Entries of lines of three characters or more: raw, graduation_year, degree, institution."""
+    empty = lambda c: F.nullif(S.strip_ws(c), F.lit(""))
+    one = lambda x: _object(raw=x, graduation_year=empty(F.regexp_extract(x, f"({YEAR})", 1)), degree=empty(F.regexp_extract(x, DEGREE, 0)), institution=empty(F.get(F.split(x, r",| - ", 2), 0)))
+    return F.transform(F.slice(F.filter(lines, lambda x: F.length(x) >= 3), 1, 5), one)
 
 
 def projects(lines: Column) -> Column:
-    return F.slice(F.transform(lines, lambda x: _object(name=S.strip_ws(F.get(F.split(x, r":| - ", 2), 0)), raw=x)), 1, 10)
+    """Names and descriptions of lines of three characters or more."""
+    named = F.transform(F.filter(lines, lambda x: F.length(x) >= 3), lambda x: F.struct(F.regexp_replace(F.get(F.split(x, r":| - ", 2), 0), "^[-* ]+|[-* ]+$", "").alias("name"), x.alias("x")))
+    return F.transform(F.slice(F.filter(named, lambda e: e["name"] != ""), 1, 10), lambda e: _object(name=e["name"], description=e["x"]))
 
 
 def certifications(lines: Column) -> Column:
@@ -104,42 +120,71 @@ def certifications(lines: Column) -> Column:
 
 
 def resumes(df: DataFrame, source_name: str = "resume", ingested_at: str = "1970-01-01 00:00:00") -> DataFrame:
-    """Records with ``error`` from (record_idx, path, text); how text left its document is up to the reader."""
-    df = df.withColumn("_l", lines_of(F.col("text"))).where("text is not null")
+    """Records with ``error`` from (record_idx, path, text); how text left its document is up to the reader.
+
+    A null or blank text is an error, and so is what a column ``error`` says already.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    df = df.withColumn("_l", lines_of(F.col("text"))).withColumn("_heads", heads(F.col("_l")))
     for name in SECTIONS:
-        df = df.withColumn(f"_{name}", section(F.col("_l"), name))
-    found = emails(F.col("text"))
-    stem = F.regexp_replace(F.element_at(F.split("path", r"[/\\]"), -1), r"\.[^.]*$", "")
-    external = F.coalesce(F.get(found, 0), stem)
+        df = df.withColumn(f"_{name}", section(F.col("_l"), name, F.col("_heads")))
+    unread = F.when(F.size("_l") == 0, F.concat(F.lit("no text in "), F.coalesce(F.col("path"), F.lit("(no path)"))))
+    df = df.withColumn("error", F.coalesce(F.col("error"), unread) if "error" in df.columns else unread)
+    found = emails(text)
+    file = S.base_name(F.col("path"))
+    external = F.coalesce(F.get(found, 0), F.regexp_replace(file, r"(?<=.)\.[^.]*$", ""))
     summary = F.nullif(F.substring(F.array_join("_summary", " "), 1, 500), F.lit(""))
-    name = F.get(F.filter(F.slice("_l", 1, 6), lambda x: ~x.rlike(r"@|http|[0-9]") & (F.size(F.split(x, r"\s+")) <= 5)), 0)
-    place = F.get(F.filter(F.slice("_l", 1, 8), lambda x: x.contains(",") & ~x.rlike("@|http")), 0)
-    in_section = F.when(F.size("_skills") > 0, F.array_join("_skills", "\n")).otherwise(F.col("text"))
+    name = F.get(F.filter(F.slice("_l", 1, 6), lambda x: ~(x.contains("@") | F.lower(x).contains("http") | x.rlike(r"\p{Nd}")) & (F.size(F.split(x, r"\s+")) <= 5)), 0)
+    place = F.get(F.filter(F.transform(F.filter(F.slice("_l", 1, 8), lambda x: x.contains(",") & ~(x.contains("@") | F.lower(x).contains("http"))), lambda x: S.location(x)["raw"]), lambda x: x.isNotNull()), 0)
+    in_section = F.when(F.size("_skills") > 0, F.array_join("_skills", "\n")).otherwise(text)
     columns = {
-        "external_id": external, "full_name": name, "location": place, "headline": summary, "resume_summary": summary, "resume_file": F.element_at(F.split("path", r"[/\\]"), -1),
-        "emails": found, "phones": phones(F.col("text")), "links": links(F.col("text")), "skills": known_skills(in_section), "certifications": certifications(F.col("_certifications")),
+        "emails": found, "phones": phones(text), "location": place, "links": links(text), "skills": S.skills(known_skills(in_section)),
         "experience": experience(F.col("_experience")), "education": education(F.col("_education")), "projects": projects(F.col("_projects")),
+        "certifications": certifications(F.col("_certifications")), "resume_summary": summary,
     }
-    raw = [F.struct(F.lit(k).alias("field_name"), F.lit(k).alias("source_key"), F.to_json(F.struct(c.alias("v"))).alias("value")) for k, c in columns.items()]
-    values = F.filter(F.array(*raw), lambda x: ~x["value"].isin("{}", '{"v":[]}', '{"v":""}'))
-    return checked(as_records(df, record_idx=F.col("record_idx"), source=source("resume", source_name, external, F.col("path"), ingested_at), raw_values=values, raw_payload=F.to_json(F.struct("path", "text")), **columns))
+    as_json = lambda k, c: S.json_text(c) if k in ("location", "resume_summary") else F.when(F.size(c) > 0, F.concat(F.lit("["), F.array_join(c, ","), F.lit("]")) if k in OBJECT_LISTS else F.to_json(c))
+    raw = [F.struct(F.lit(k).alias("field_name"), F.lit(k).alias("source_key"), as_json(k, c).alias("value")) for k, c in columns.items()]
+    values = F.filter(F.array(*raw), lambda x: x["value"].isNotNull())
+    payload = F.to_json(F.struct(file.alias("filename"), F.col("text")))
+    return checked(as_records(df, record_idx=F.col("record_idx"), source=source("resume", source_name, file, F.col("path"), ingested_at), external_id=external, full_name=name, headline=summary, resume_file=file, raw_values=values, raw_payload=payload, **columns))
 
 
-def docx_text(files: DataFrame) -> DataFrame:
-    """(path, text) of (path, content) DOCX files: paragraphs, then table cells; needs no library beyond Python's own."""
+def document_text(files: DataFrame, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(path, text, error) of (path, content): DOCX by Python's own means, PDF by the reader given.
+
+    DOCX gives paragraphs that are not blank, then table cells.  A file that cannot be read, another suffix, and a PDF
+    without a reader give a null text and the reason; none ends the job.
+    """
     import io
     import zipfile
     from xml.etree import ElementTree
 
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+    def docx(content: bytes) -> str:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
+        words = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t"))
+        return "\n".join(x for x in [words(p) for p in body.findall(f"{w}p")] + [words(c) for c in body.iter(f"{w}tc")] if x.strip())
+
+    def one(path: str, content: bytes) -> tuple[str | None, str | None]:
+        suffix = path.rsplit(".", 1)[-1].casefold() if "." in path.replace("\\", "/").rsplit("/", 1)[-1] else ""
+        reader = {"docx": docx, "pdf": pdf}.get(suffix)
+        if reader is None:
+            return None, f"no reader for PDF: {path}" if suffix == "pdf" else f"unsupported document: {path}"
+        try:
+            return reader(content), None
+        except Exception as e:  # whatever a broken file makes its reader do is that file's failure
+            return None, f"cannot read {path}: {e}"
+
     def read(batches):
-        w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
         for frame in batches:
-            texts = []
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
-                words = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t"))
-                texts.append("\n".join([words(p) for p in body.findall(f"{w}p")] + [words(c) for c in body.iter(f"{w}tc")]))
-            yield frame[["path"]].assign(text=texts)
-
-    return files.select("path", "content").mapInPandas(read, "path string, text string")
+            got = [one(p, c) for p, c in zip(frame["path"], frame["content"], strict=True)]
+            yield frame[["path"]].assign(text=[g[0] for g in got], error=[g[1] for g in got])
+
+    return files.select("path", "content").mapInPandas(read, "path string, text string, error string")
+
+
+def docx_text(files: DataFrame) -> DataFrame:
+    """(path, text) of (path, content) DOCX files; null for what cannot be read."""
+    return document_text(files).select("path", "text")

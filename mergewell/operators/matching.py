@@ -22,8 +22,9 @@ NAME, NAME_COMPANY, NAME_SKILLS = 90.0, 85.0, 80.0
 
 def urls(host: str) -> Column:
     """URL keys with a host's name in them: links, the source's own, and raw values of URL fields."""
-    raw = F.transform(F.filter("raw_values", lambda x: F.lower(x["field_name"]).rlike("url|link")), lambda x: F.regexp_replace(x["value"], r'^"|"$', ""))
-    found = F.concat(F.coalesce("links", F.array()), F.array("source.source_uri"), F.coalesce(raw, F.array()))
+    values = F.transform(F.filter("raw_values", lambda x: F.lower(x["field_name"]).rlike("url|link")), lambda x: x["value"])
+    opened = F.transform(values, lambda v: F.coalesce(F.when(v.startswith("["), F.from_json(v, "array<string>")), F.array(F.regexp_replace(v, r'^"|"$', ""))))
+    found = F.concat(F.coalesce("links", F.array()), F.array("source.source_uri"), F.coalesce(F.flatten(opened), F.array()))
     return F.array_distinct(F.filter(F.transform(found, S.url_key), lambda x: x.contains(host)))
 
 
@@ -68,15 +69,36 @@ def _tagged(pairs: DataFrame, priority: int, confidence: Column, reason: Column)
     return pairs.select("left", "right", F.lit(priority).alias("rule"), confidence.alias("confidence"), reason.alias("reason"))
 
 
+def _keys(records: DataFrame, side: str) -> DataFrame:
+    """(side, side_1, side_2, ...): each record's keys of every rule."""
+    return records.select(F.col("record_idx").alias(side), *[keys().alias(f"{side}_{priority}") for priority, _, _, keys in KEY_RULES])
+
+
+def first_rules(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left, right, rule, confidence, reason) of pairs (left, right, rule, confidence, reason): the first rule that holds for
+    each, of the rules on shared keys and those that the pair was found by (null: by a key)."""
+    found = pairs.groupBy("left", "right").agg(F.min(F.struct("rule", "confidence", "reason")).alias("found"))
+    both = found.join(_keys(records, "left"), "left").join(_keys(records, "right"), "right")
+    rules = [F.when(F.col("found.rule").isNotNull(), F.col("found"))]
+    for priority, confidence, reason, _ in KEY_RULES:
+        shared = F.array_intersect(f"left_{priority}", f"right_{priority}")
+        text = F.concat(F.lit(f"{reason}: "), F.array_min(shared)) if priority == 1 else F.lit(reason)
+        rules.append(F.when(F.size(shared) > 0, F.struct(F.lit(priority).alias("rule"), F.lit(confidence).alias("confidence"), text.alias("reason"))))
+    # a struct of nulls is less than any other, so nulls are dropped first
+    best = F.array_min(F.filter(F.array(*rules), lambda x: x.isNotNull()))
+    return both.select("left", "right", best.alias("m")).where("m is not null").select("left", "right", "m.rule", "m.confidence", "m.reason")
+
+
+def key_pairs(records: DataFrame, complete: bool = False) -> DataFrame:
+    """(left, right) by any rule on shared keys: of each key every later record with the first, or with ``complete`` all pairs."""
+    pairs = [(all_pairs if complete else star)(keyed(records, keys())).select("left", "right") for _, _, _, keys in KEY_RULES]
+    return reduce(DataFrame.union, pairs).distinct()
+
+
 def key_matches(records: DataFrame, complete: bool = False) -> DataFrame:
     """(left, right, rule, confidence, reason) of the rules on shared keys."""
-    out = []
-    for priority, confidence, reason, keys in KEY_RULES:
-        found = keyed(records, keys())
-        pairs = all_pairs(found).groupBy("left", "right").agg(F.min("key").alias("key")) if complete else star(found).withColumn("key", F.lit(None).cast("string"))
-        text = F.concat(F.lit(f"{reason}: "), "key") if priority == 1 and complete else F.lit(reason)
-        out.append(_tagged(pairs, priority, F.lit(confidence), text))
-    return reduce(DataFrame.union, out)
+    null = [F.lit(None).cast(t).alias(n) for n, t in (("rule", "int"), ("confidence", "double"), ("reason", "string"))]
+    return first_rules(records, key_pairs(records, complete).select("left", "right", *null))
 
 
 def similar_names(names: DataFrame, floor: float, sort: bool) -> DataFrame:
@@ -124,10 +146,13 @@ def blended_matches(records: DataFrame) -> DataFrame:
     return tag(seven, 7, "Name and company").union(tag(eight, 8, "Name and skills"))
 
 
-def matches(records: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """One row a pair, of the first rule that holds for it."""
-    found = key_matches(records)
+def matches(records: DataFrame, fuzzy: bool = True, complete: bool = False) -> DataFrame:
+    """One row a pair, of the first rule that holds for it.
+
+    Pairs that share a key are those with a key's first record, which connect the same clusters; with ``complete`` all of them.
+    """
+    null = [F.lit(None).cast(t).alias(n) for n, t in (("rule", "int"), ("confidence", "double"), ("reason", "string"))]
+    found = key_pairs(records, complete).select("left", "right", *null)
     if fuzzy:
         found = found.union(name_matches(records)).union(blended_matches(records))
-    best = found.groupBy("left", "right").agg(F.min(F.struct("rule", "confidence", "reason")).alias("m"))
-    return best.select("left", "right", "m.rule", "m.confidence", "m.reason")
+    return first_rules(records, found)

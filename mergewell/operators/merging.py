@@ -50,14 +50,10 @@ def merge(records: DataFrame, clusters: DataFrame, priorities: Mapping[str, int]
     first = lambda c: F.get(F.filter(F.transform("m", lambda x: x[c]), lambda v: v.isNotNull() & (v.cast("string") != "")), 0)
     union = lambda c: F.flatten(F.transform("m", lambda x: F.coalesce(x[c], F.array())))
 
-    def distinct_by(items: Column, key) -> Column:
-        keys = F.transform(items, key)
-        return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
-
     columns = {c: first(c) for c in (*SCALARS, "years_experience")}
     columns |= {c: S.dedup_ci(union(c)) for c in STRING_LISTS}
-    columns |= {c: distinct_by(union(c), lambda x: F.coalesce(S.json_key(x), x)) for c in OBJECT_LISTS}
-    columns["raw_values"] = distinct_by(union("raw_values"), lambda x: F.to_json(x))
+    columns |= {c: S.distinct_by(union(c), lambda x: F.coalesce(S.json_key(x), x)) for c in OBJECT_LISTS}
+    columns["raw_values"] = S.distinct_by(union("raw_values"), lambda x: F.to_json(x))
     out = grouped.select(
         F.col("cluster_id"),
         F.transform("m", lambda x: x["record_idx"]).alias("members"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mergewell.functions import scalars as S
 
 STRATEGIES = ("keep_null", "omit", "empty_string")
-FIELDS = ("candidate_id", "full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education", "projects", "certifications", "overall_confidence", "field_confidence", "provenance")
+FIELDS = ("candidate_id", "full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education", "projects", "certifications", "resume_summary", "overall_confidence", "field_confidence", "provenance")
 
 
 class ConfigError(ValueError):
@@ -68,16 +68,25 @@ def _text(x: Column, *keys: str) -> Column:
     return F.coalesce(*[F.nullif(F.get_json_object(x, f"$.{k}"), F.lit("")) for k in keys])
 
 
-def canonical(merged: DataFrame) -> DataFrame:
+def _technologies(x: Column) -> Column:
+    """A project's technologies as texts; a single one is a list of one, blanks go."""
+    v = F.try_variant_get(F.try_parse_json(x), "$.technologies", "variant")
+    many = F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.try_variant_get(v, "$", "string")))
+    return F.filter(many, lambda t: t.isNotNull() & (t != ""))
+
+
+def canonical(merged: DataFrame, merge_methods: dict[str, str] | None = None) -> DataFrame:
     """Canonical columns of scored, merged records, with ``errors``: what a strict reader would refuse."""
+    from mergewell.operators import scoring
+
     link = lambda x: F.struct(F.coalesce(S.link(x)["category"], F.lit("other")).alias("type"), x.alias("url"))
     entries = lambda c, needs, build: F.transform(F.filter(c, lambda x: _text(x, *needs).isNotNull()), build)
     company, school, project = ("company", "employer", "organization"), ("institution", "school", "university"), ("name", "project", "title")
     confidence = F.element_at("field_confidence", F.lit("skills"))
-    out = merged.select(
+    out = scoring.provenance(merged, merge_methods).select(
         "cluster_id", "record_idx",
-        F.coalesce("external_id", F.get("emails", 0), "full_name", F.lit("unknown")).alias("candidate_id"),
-        F.coalesce("full_name", F.lit("Unknown Candidate")).alias("full_name"),
+        F.coalesce(F.nullif("external_id", F.lit("")), F.get("emails", 0), F.nullif("full_name", F.lit("")), F.lit("unknown")).alias("candidate_id"),
+        F.coalesce(F.nullif("full_name", F.lit("")), F.lit("Unknown Candidate")).alias("full_name"),
         "emails", "phones",
         F.when(F.col("location").isNotNull(), F.struct(F.col("location").alias("raw"))).alias("location"),
         F.transform("links", link).alias("links"),
@@ -85,18 +94,25 @@ def canonical(merged: DataFrame) -> DataFrame:
         F.transform("skills", lambda x: F.struct(x.alias("name"), confidence.alias("confidence"))).alias("skills"),
         entries("experience", company, lambda x: F.struct(_text(x, *company).alias("company"), _text(x, "title").alias("title"))).alias("experience"),
         entries("education", school, lambda x: F.struct(_text(x, *school).alias("institution"), _text(x, "degree").alias("degree"), _text(x, "field_of_study").alias("field_of_study"))).alias("education"),
-        entries("projects", project, lambda x: F.struct(_text(x, *project).alias("name"), _text(x, "description", "raw").alias("description"), F.from_json(F.get_json_object(x, "$.technologies"), "array<string>").alias("technologies"))).alias("projects"),
-        "certifications", "overall_confidence", "field_confidence", "merged_from",
+        entries("projects", project, lambda x: F.struct(_text(x, *project).alias("name"), _text(x, "description", "raw").alias("description"), _technologies(x).alias("technologies"))).alias("projects"),
+        "certifications", "resume_summary",
+        F.transform("provenance", lambda p: F.struct(S.source_type(p["source"]).alias("source"), p["field"].alias("field"), p["confidence"].alias("confidence"))).alias("provenance"),
+        "overall_confidence", "field_confidence", "merged_from",
     )
-    bad_link = F.exists("links", lambda x: ~x["url"].rlike("^https?://"))
-    bad_mail = F.exists("emails", lambda x: ~x.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"))
-    return out.withColumn("errors", F.filter(F.array(F.when(bad_link, "link without http"), F.when(bad_mail, "malformed e-mail")), lambda x: x.isNotNull()))
+    checks = {
+        "link without http": F.exists("links", lambda x: ~x["url"].rlike("^https?://")),
+        "malformed e-mail": F.exists("emails", lambda x: ~x.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")),
+        "blank list item": F.exists(F.concat("emails", "phones", "certifications"), lambda x: x.rlike(r"^\s*$")) | F.exists("skills", lambda x: x["name"].rlike(r"^\s*$")),
+        "years_experience below 0": F.col("years_experience") < 0,
+        "confidence outside 0 to 1": (F.col("overall_confidence") < 0) | (F.col("overall_confidence") > 1),
+    }
+    return out.withColumn("errors", F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull()))
 
 
 def _json(c: Column, kind: str) -> Column:
     """JSON of a value, nested nulls included; SQL null stays null."""
     if kind == "string":
-        return F.to_json(F.to_variant_object(F.array(c))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(c)))) - 2)
+        return S.json_text(c)
     if kind.startswith(("array", "struct", "map")):
         return F.to_json(c, {"ignoreNullFields": "false"})
     return F.when(F.isnan(c.cast("double")), F.lit(None)).otherwise(c.cast("string")) if kind == "double" else c.cast("string")
@@ -112,9 +128,9 @@ def project(candidates: DataFrame, config: Config | dict | str) -> DataFrame:
         c, kind = F.col(f.name), kinds[f.name]
         if config.apply_normalization:
             if f.name == "emails":
-                c = F.filter(F.transform(c, S.email), lambda x: x.isNotNull())
+                c = F.filter(F.transform(c, lambda x: S.email(x)), lambda x: x.isNotNull())
             elif f.name == "phones":
-                c = F.filter(F.transform(c, S.phone), lambda x: x.isNotNull())
+                c = F.filter(F.transform(c, lambda x: S.phone(x)), lambda x: x.isNotNull())
             elif f.name == "skills":
                 c, kind = S.skills(F.transform(c, lambda x: x["name"])), "array<string>"
         missing = c.isNull() | ((F.size(c) == 0) if kind.startswith(("array", "map")) else F.lit(False))
@@ -146,7 +162,14 @@ def validate(projected: DataFrame, config: Config | dict | str) -> DataFrame:
     needed = F.filter(F.array(*needed), lambda x: x.isNotNull()) if needed else F.filter(F.array(error(F.lit(""), "", "")), lambda _: F.lit(False))
     good = F.concat(missing, extra, needed)
     root = F.array(error(F.lit("$"), "output is not an object", "invalid_root_type"))
-    return projected.withColumn("validation", F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), root).otherwise(good))
+    # what is no JSON at all cannot be written; null is JSON of another type
+    broken = F.array(error(F.lit("$"), "output cannot be written as JSON", "not_json_serializable"))
+    return projected.withColumn("validation", F.when(F.col("output").isNotNull() & v.isNull(), broken).when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), root).otherwise(good))
+
+
+def error_count(validated: DataFrame) -> DataFrame:
+    """(errors): all validation errors of a run."""
+    return validated.agg(F.coalesce(F.sum(F.size("validation")), F.lit(0)).cast("long").alias("errors"))
 
 
 def merge_report(records: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -161,8 +184,8 @@ def contributing(merged: DataFrame) -> DataFrame:
     return merged.select("cluster_id", S.dedup_ci(F.transform("merged_from", lambda x: x["label"])).alias("sources"))
 
 
-def resume_matches(candidates: DataFrame, resumes: DataFrame) -> DataFrame:
-    """(resume_idx, record_idx, rule): each résumé's first hit by file name, e-mail, phone, then nearest name from 90 on.
+def resume_matches(candidates: DataFrame, resumes: DataFrame, names: bool = True) -> DataFrame:
+    """(resume_idx, record_idx, rule): each résumé's first hit by file name, e-mail, phone, then nearest name from 90 on (unless ``names`` is off).
 
     The least rule wins, then the earliest candidate (for names the best score first).
     """
@@ -175,9 +198,12 @@ def resume_matches(candidates: DataFrame, resumes: DataFrame) -> DataFrame:
 
     first = keys(candidates, "record_idx").groupBy("rule", "key").agg(F.min("record_idx").alias("record_idx"))
     hits = keys(resumes, "resume_idx").join(first, ["rule", "key"]).select("resume_idx", "rule", "record_idx", F.lit(0.0).alias("score"))
-    names = lambda df, name: df.where("full_name is not null").select(F.col("full_name").alias(name)).distinct()
+    if not names:
+        best = hits.groupBy("resume_idx").agg(F.min(F.struct("rule", "record_idx")).alias("m"))
+        return best.select("resume_idx", F.col("m.record_idx").alias("record_idx"), F.col("m.rule").alias("rule"))
+    distinct = lambda df, name: df.where("full_name is not null").select(F.col("full_name").alias(name)).distinct()
     named = lambda df, idx, name: df.select(F.col("record_idx").alias(idx), F.col("full_name").alias(name))
-    near = similarity.near_pairs(names(resumes, "l"), names(candidates, "r"), 90.0)
+    near = similarity.near_pairs(distinct(resumes, "l"), distinct(candidates, "r"), 90.0)
     near = near.withColumn("score", similarity.token_set_ratio(F.col("l"), F.col("r"))).where("score >= 90")
     fuzzy = near.join(named(resumes, "resume_idx", "l"), "l").join(named(candidates, "record_idx", "r"), "r").select("resume_idx", F.lit(4).alias("rule"), "record_idx", "score")
     best = hits.union(fuzzy).groupBy("resume_idx").agg(F.min(F.struct("rule", -F.col("score"), "record_idx")).alias("m"))
@@ -193,6 +219,51 @@ def fill_missing(records: DataFrame, given: DataFrame, scalars: tuple[str, ...],
     return joined.withColumns(cols).withColumn("status", F.when(F.col("_hit"), "enriched").otherwise("unavailable")).drop("_hit", *names.values())
 
 
+# How sources are shown.
+SOURCE_LABELS = {
+    "recruiter_csv": "Recruiter CSV", "csv": "Recruiter CSV", "ats_json": "ATS JSON", "json": "ATS JSON",
+    "github_api": "GitHub", "github_profile": "GitHub", "github": "GitHub", "resume": "Resume", "linkedin_profile": "LinkedIn", "linkedin": "LinkedIn",
+}
+
+
+def shown_sources(sources: Column) -> Column:
+    """Source labels as they are shown, ordered and distinct; none gives Unknown."""
+    names = F.create_map(*[F.lit(x) for kv in SOURCE_LABELS.items() for x in kv])
+    shown = S.dedup_ci(F.transform(sources, lambda x: F.coalesce(F.element_at(names, S.fold(x)), F.initcap(F.replace(x, F.lit("_"), F.lit(" "))))))
+    return F.when(F.size(shown) > 0, shown).otherwise(F.array(F.lit("Unknown")))
+
+
+def first_or_dash(items: Column) -> Column:
+    return F.coalesce(F.get(items, 0), F.lit("-"))
+
+
+def location_text(location: Column) -> Column:
+    """A location's raw text, else its parts, else a dash; for structs with any of raw, city, region, country."""
+    return F.coalesce(F.nullif(location["raw"], F.lit("")), F.lit("-"))
+
+
+def percent(c: Column) -> Column:
+    """A share as whole percent."""
+    return F.concat(F.bround(c * 100).cast("int").cast("string"), F.lit("%"))
+
+
+def details(candidates: DataFrame) -> DataFrame:
+    """(cluster_id, section, position, label, value): what a candidate's page shows, a row a line."""
+    row = lambda section, label, value: F.struct(F.lit(section).alias("section"), label.alias("label"), value.alias("value"))
+    text = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("-"))
+    lists = {
+        "experience": F.transform("experience", lambda e: row("experience", text(e["title"]), e["company"])),
+        "education": F.transform("education", lambda e: row("education", text(e["degree"]), e["institution"])),
+        "projects": F.transform("projects", lambda e: row("projects", e["name"], text(e["description"]))),
+        "links": F.transform("links", lambda e: row("links", e["type"], e["url"])),
+        "confidence": F.transform(F.map_entries("field_confidence"), lambda e: row("confidence", e["key"], percent(e["value"]))),
+        "provenance": F.transform("provenance", lambda e: row("provenance", e["field"], F.concat(e["source"], F.lit(" "), percent(e["confidence"])))),
+    }
+    head = [("Name", F.col("full_name")), ("Headline", text(F.col("headline"))), ("Email", first_or_dash(F.col("emails"))), ("Phone", first_or_dash(F.col("phones"))), ("Location", F.coalesce(location_text(F.col("location")), F.lit("-"))), ("Overall", percent(F.col("overall_confidence")))]
+    rows = F.concat(F.array(*[row("profile", F.lit(k), c) for k, c in head]), *lists.values())
+    return candidates.select("cluster_id", F.posexplode(rows).alias("position", "r")).select("cluster_id", "r.section", "position", "r.label", "r.value")
+
+
 def dashboard(candidates: DataFrame, name_contains: str = "", status: str | None = None, ascending: bool = False) -> DataFrame:
     """Summary rows by confidence: name, first e-mail, first company, percent, status; ties keep the output order."""
     rows = candidates.select(

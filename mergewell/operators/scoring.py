@@ -57,20 +57,24 @@ def has_value(field: str, dtypes: Mapping[str, str]) -> Column:
     return c.isNotNull() & ((c != "") if dtypes[field] == "string" else F.lit(True))
 
 
-def raw_labels(field: str) -> Column:
-    """Labels of the raw values that speak for a field, distinct and sorted."""
-    canonical = lambda x: F.coalesce(F.element_at(_map(RAW_ALIASES), x["field_name"]), x["field_name"])
+def _speakers(records: DataFrame) -> DataFrame:
+    """Add ``_raw``, the raw values as struct(field, source, source_key), and ``_merged``, the labels of what was merged; each once."""
     own = F.coalesce("source.source_name", "source.source_type")
-    of = lambda x: F.when(x["source_key"].contains(":"), F.split_part(x["source_key"], F.lit(":"), F.lit(1))).otherwise(own)
-    return F.array_sort(F.array_distinct(F.transform(F.filter("raw_values", lambda x: canonical(x) == field), of)))
-
-
-def evidence(field: str, columns: list[str]) -> Column:
-    """Who speaks for a field: its raw values, else all that was merged, else the record's own source."""
-    speaking = raw_labels(field)
+    key = lambda x: x["source_key"]
+    one = lambda x: F.struct(
+        F.coalesce(F.element_at(_map(RAW_ALIASES), x["field_name"]), x["field_name"]).alias("field"),
+        F.when(key(x).contains(":"), F.split_part(key(x), F.lit(":"), F.lit(1))).otherwise(own).alias("source"),
+        F.when(key(x).contains(":"), F.regexp_replace(key(x), "^[^:]*:", "")).otherwise(key(x)).alias("source_key"),
+    )
+    merged = F.array_sort(F.array_distinct(F.transform("merged_from", lambda x: x["label"]))) if "merged_from" in records.columns else F.array().cast("array<string>")
+    return records.withColumn("_raw", F.transform("raw_values", one)).withColumn("_merged", merged)
+
+
+def evidence(field: Column) -> Column:
+    """Who speaks for a field of :func:`_speakers`: its raw values, else all that was merged, else the record's own source."""
     own = F.array(F.coalesce("source.source_name", "source.source_type"))
-    merged = F.array_sort(F.array_distinct(F.transform("merged_from", lambda x: x["label"]))) if "merged_from" in columns else F.array().cast("array<string>")
-    return F.when(F.size(speaking) > 0, speaking).when(F.size(merged) > 0, merged).otherwise(own)
+    speaking = F.array_sort(F.array_distinct(F.transform(F.filter("_raw", lambda x: x["field"] == field), lambda x: x["source"])))
+    return S.let(speaking, lambda v: F.when(F.size(v) > 0, v).when(F.size("_merged") > 0, F.col("_merged")).otherwise(own))
 
 
 def noisy_or(labels: Column, weights: Mapping[str, float] = SOURCE_WEIGHTS, default: float = DEFAULT_WEIGHT) -> Column:
@@ -82,30 +86,49 @@ def noisy_or(labels: Column, weights: Mapping[str, float] = SOURCE_WEIGHTS, defa
 def score(records: DataFrame, source_weights: Mapping[str, float] = SOURCE_WEIGHTS, field_weights: Mapping[str, float] = FIELD_WEIGHTS, default: float = DEFAULT_WEIGHT) -> DataFrame:
     """Add ``field_confidence`` (map) and ``overall_confidence``; empty fields score 0 and are not weighed."""
     kinds = dict(records.dtypes)
-    each = [(f, F.when(has_value(f, kinds), noisy_or(evidence(f, records.columns), source_weights, default)).otherwise(F.lit(0.0))) for f in field_weights]
-    out = records.withColumn("field_confidence", F.create_map(*[x for f, c in each for x in (F.lit(f), c)]))
-    parts = F.filter(F.map_entries("field_confidence"), lambda e: e["value"] != 0)
-    weight = lambda e: F.element_at(_map(field_weights), e["key"])
-    total = F.aggregate(parts, F.lit(0.0), lambda acc, e: acc + weight(e))
-    return out.withColumn("overall_confidence", F.when(total > 0, F.round(F.aggregate(parts, F.lit(0.0), lambda acc, e: acc + e["value"] * weight(e)) / total, 4)).otherwise(F.lit(0.0)))
+    fields = F.array(*[F.struct(F.lit(f).alias("name"), has_value(f, kinds).alias("there")) for f in field_weights])
+    each = F.transform(fields, lambda f: F.when(f["there"], noisy_or(evidence(f["name"]), source_weights, default)).otherwise(F.lit(0.0)))
+    out = _speakers(records).withColumn("_scores", each).drop("_raw", "_merged")
+    names, weights = (F.array(*[F.lit(x) for x in v]) for v in (field_weights, field_weights.values()))
+    total = F.aggregate(F.zip_with("_scores", weights, lambda c, w: F.when(c != 0, w).otherwise(F.lit(0.0))), F.lit(0.0), lambda acc, w: acc + w)
+    gain = F.aggregate(F.zip_with("_scores", weights, lambda c, w: c * w), F.lit(0.0), lambda acc, x: acc + x)
+    out = out.withColumn("overall_confidence", F.when(total > 0, F.round(gain / total, 4)).otherwise(F.lit(0.0)))
+    return out.withColumn("field_confidence", F.map_from_arrays(names, F.col("_scores"))).drop("_scores")
+
+
+# How a field's value came about.
+MERGE_METHODS = {f: "source_priority" for f in ("external_id", "full_name", "location", "headline", "years_experience", "resume_summary")}
+MERGE_METHODS |= {f: "union_deduplicate" for f in ("emails", "phones", "links", "skills", "experience", "education", "projects", "certifications")}
+
 
+def provenance(records: DataFrame, merge_methods: Mapping[str, str] | None = None, timestamps: bool = True) -> DataFrame:
+    """Add ``provenance``: array of (field, source, source_key, confidence, merge_method, observed), a row for each distinct
+    speaking raw value of a field, else one for the record itself; fields in their fixed order, empty fields that no raw value names have none.
 
-def provenance(records: DataFrame) -> DataFrame:
-    """(cluster_id, field, source, source_key, confidence, merge_method, observed): a row for each speaking
-    raw value of a field, else one for the record itself."""
+    ``merge_methods`` override the names of methods; without ``timestamps`` ``observed`` is null.
+    """
     kinds, own = dict(records.dtypes), F.coalesce("source.source_name", "source.source_type")
-    canonical = lambda x: F.coalesce(F.element_at(_map(RAW_ALIASES), x["field_name"]), x["field_name"])
-    rows = []
-    for f in FIELD_WEIGHTS:
-        split = lambda x: F.struct(
-            F.when(x["source_key"].contains(":"), F.split_part(x["source_key"], F.lit(":"), F.lit(1))).otherwise(own).alias("source"),
-            F.regexp_replace(x["source_key"], "^[^:]*:", "").alias("source_key"),
-        )
-        speaking = F.array_distinct(F.transform(F.filter("raw_values", lambda x: canonical(x) == f), split))
-        fallback = F.array(F.struct(own.alias("source"), F.lit(None).cast("string").alias("source_key")))
-        chosen = F.when(F.size(speaking) > 0, speaking).otherwise(fallback)
-        method = "ordered_union" if kinds[f].startswith("array") else "highest_priority"
-        rows.append(F.transform(F.when(has_value(f, kinds), chosen).otherwise(F.filter(chosen, lambda _: F.lit(False))), lambda x: F.struct(F.lit(f).alias("field"), x["source"].alias("source"), x["source_key"].alias("source_key"), F.lit(method).alias("merge_method"))))
-    flat = records.select("cluster_id", "field_confidence", "merged_from", F.explode(F.flatten(F.array(*rows))).alias("p"))
-    at = F.get(F.filter("merged_from", lambda x: x["label"] == F.col("p.source")), 0)["source"]["ingested_at"]
-    return flat.select("cluster_id", "p.*", F.element_at("field_confidence", F.col("p.field")).alias("confidence"), at.alias("observed"))
+    methods = _map(MERGE_METHODS | dict(merge_methods or {}))
+    at = F.col("source.ingested_at")
+    df = _speakers(records).withColumn("_said", F.array_distinct("_raw"))
+    if "merged_from" in records.columns:
+        df = df.withColumn("_times", F.transform("merged_from", lambda m: F.struct(F.array(m["source"]["source_type"], m["source"]["source_name"]).alias("names"), m["source"]["ingested_at"].alias("at"))))
+        observed = lambda x: F.when(x["source_key"].isNull(), at).otherwise(F.coalesce(F.get(F.filter("_times", lambda t: F.array_contains(t["names"], x["source"])), 0)["at"], at))
+    else:
+        observed = lambda x: at
+    seen = observed if timestamps else (lambda x: F.lit(None).cast("timestamp"))
+    fields = F.array(*[F.struct(F.lit(f).alias("name"), has_value(f, kinds).alias("there")) for f in FIELD_WEIGHTS])
+    none = F.lit(None).cast("string")
+
+    def entries(f: Column) -> Column:
+        alone = F.when(f["there"], F.array(F.struct(f["name"].alias("field"), own.alias("source"), none.alias("source_key")))).otherwise(F.filter("_said", lambda _: F.lit(False)))
+        return S.let(F.filter("_said", lambda x: x["field"] == f["name"]), lambda v: F.when(F.size(v) > 0, v).otherwise(alone))
+
+    df = df.withColumn("_all", F.flatten(F.transform(fields, entries)))
+    one = lambda x: F.struct(x["field"].alias("field"), x["source"].alias("source"), x["source_key"].alias("source_key"), F.element_at("field_confidence", x["field"]).alias("confidence"), F.element_at(methods, x["field"]).alias("merge_method"), seen(x).alias("observed"))
+    return df.withColumn("provenance", F.transform("_all", one)).drop("_raw", "_merged", "_said", "_times", "_all")
+
+
+def provenance_rows(records: DataFrame, **options) -> DataFrame:
+    """The same as rows (cluster_id, field, source, source_key, confidence, merge_method, observed)."""
+    return provenance(records, **options).select("cluster_id", F.explode("provenance").alias("p")).select("cluster_id", "p.*")

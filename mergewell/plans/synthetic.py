@@ -12,6 +12,19 @@ SKILLS = "Py|SQL,js|Docker,node-js|python 3,Spark|SPARK|Py"
 PLACES = "Berlin; Germany,London; England; UK,Pune; India,San Francisco; CA,Paris"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the session names for checkpoints; a local session may name none."""
+    import tempfile
+    import uuid
+
+    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="mergewell-")
+    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer by CSV, each second by JSON, each fifth by a code host, each seventh by résumé."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), "c_acctbal", "c_mktsegment")

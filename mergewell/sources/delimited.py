@@ -41,9 +41,12 @@ class ColumnMapping:
 IDENTIFYING = ("external_id", "full_name", "name", "emails", "email", "phones", "phone", "links", "github_url")
 
 
-def read(spark: SparkSession, path: str, mapping: ColumnMapping | None = None, list_delimiter: str = ",", source_name: str = "recruiter_csv", ingested_at: str = "1970-01-01 00:00:00") -> DataFrame:
-    """Records with ``error`` (null for good rows) from a file with a header."""
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, nullValue="\u0000")
+def read(spark: SparkSession, path: str, mapping: ColumnMapping | None = None, list_delimiter: str = ",", source_name: str = "recruiter_csv", ingested_at: str = "1970-01-01 00:00:00", multi_line: bool = True) -> DataFrame:
+    """Records with ``error`` (null for good rows) from a file with a header.
+
+    Without ``multi_line`` no cell may hold a line break, and a large file is read by many tasks.
+    """
+    df = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', inferSchema=False, nullValue="\u0000")
     numbered = df.withColumn("record_idx", F.monotonically_increasing_id())
     return from_frame(numbered, mapping, list_delimiter, source_name, F.input_file_name(), ingested_at)
 

@@ -52,6 +52,9 @@ def append(*frames: DataFrame) -> DataFrame:
     Rows of an input are numbered in its own ``record_idx``; an input's numbers start where the ones before end.
     """
     tagged = reduce(DataFrame.unionByName, [f.withColumn("_input", F.lit(i)) for i, f in enumerate(frames)])
+    twice = tagged.groupBy("_input", "record_idx").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise SourceError(f"input {twice[0]['_input']} numbers two rows {twice[0]['record_idx']}")
     sizes = tagged.groupBy("_input").agg((F.max("record_idx") + 1).alias("n"))
     before = Window.orderBy("_input").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_input", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))

@@ -60,7 +60,7 @@ def test_append_numbers_inputs(spark):
 
 
 def test_resume_text(spark):
-    text = "Ada Lovelace\nLondon, UK\nada@x.com | +1 415 555 2671 | https://github.com/ada.\nSummary\nWrites programs\nSkills:\nPython, SQL\nWork Experience\nAnalyst at Acme Jan 2020 - Present\nEducation\nMIT, Bachelor of Science, 2019\nProjects\nEngine: computes\nCertifications\n- AWS\n"
+    text = "Ada Lovelace\nLondon, UK\nada@x.com | +1 415 555 2671 | https://github.com/ada.\nSummary\nWrites programs\nSkills:\nPython, SQL\nWork Experience\nAnalyst at Acme - Jan 2020 - Present\nEducation\nMIT, Bachelor of Science, 2019\nProjects\nEngine: computes\nCertifications\n- AWS\n"
     row = extract.resumes(spark.createDataFrame([(0, "cv/Ada.pdf", text)], "record_idx long, path string, text string")).collect()[0]
     assert (row.full_name, row.location, row.emails, row.phones, row.links) == ("Ada Lovelace", "London, UK", ["ada@x.com"], ["+14155552671"], ["https://github.com/ada"])
     assert (row.skills, row.certifications, row.resume_summary) == (["Python", "SQL"], ["AWS"], "Writes programs")
