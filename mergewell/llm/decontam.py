@@ -3,6 +3,7 @@
 Texts become words of letters and digits in lower case, and five-word shingles.  Benchmark items of N
 shingles are set against document windows of N shingles (the whole document if it has fewer).  Only
 windows that hold a shingle of an item of that size are looked at: no other one is similar to any.
+Documents without any such shingle leave in the first scan, and only the rest is read again.
 
 A window's fingerprint is SimHash: 12 blocks of 18 bits, each bit the majority of that bit among the
 hashes of the window's shingles.  The index holds each item under every block value within 2 bits of
@@ -132,6 +133,21 @@ def _windows(hits: DataFrame) -> DataFrame:
     return rows.where(F.size("runs") > 0).groupBy("d", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
+#: So many distinct item shingles are looked up as a set inside the scan; more of them are joined.
+SET_SHINGLES = 100_000
+
+
+def _holders(docs: DataFrame, sized: DataFrame) -> DataFrame:
+    """The documents (doc_id, text) that hold a shingle of an item: the few whose texts are read again."""
+    wanted = sized.select("h").distinct()
+    shingled = docs.withColumn("hs", shingles_of(F.col("text")))
+    if wanted.limit(SET_SHINGLES + 1).count() <= SET_SHINGLES:
+        known = ",".join(str(r["h"]) + "L" for r in wanted.collect())
+        return cut(shingled.where(f"exists(hs, x -> x in ({known}))" if known else "false").select("doc_id", "text"), "holders")
+    found = shingled.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_th"), F.explode("hs").alias("h")).join(wanted, "h").select("_d", "_th").distinct()
+    return cut(docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_th")), "left_semi"), "holders")
+
+
 def _opened(docs: DataFrame, where: DataFrame) -> DataFrame:
     """(doc_id, th, s, n, w): the shingles of each window in ``where`` (d, th, runs)."""
     keyed = if_small(where.withColumnsRenamed({"d": "_d", "th": "_th"}))
@@ -165,9 +181,10 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark or table gives an empty result.  Items with equal texts are all reported; of items
     with one id, null among them, the best window of any.
     """
-    docs = docs.select("doc_id", "text")
+    every = docs.select("doc_id", "text")
     items = cut(items_of(benchmark), "items")
     sized = cut(items.select("n", F.explode(F.array_distinct("hashes")).alias("h")).distinct(), "item-shingles")
+    docs = _holders(every, sized)
     shingled = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), shingles_of(F.col("text")).alias("hs"))
     spread = shingled.select("d", "th", F.size("hs").alias("m"), F.posexplode("hs").alias("p", "h"))
     hits = spread.join(if_small(sized), "h").select("d", "th", "m", "n", "p")
@@ -188,7 +205,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scored = both.select("n", "k1", "k2", "item_id", let(shared, lambda o: o / (F.size("w") + F.size("hashes") - o)).alias("similarity"))
     passed = cut(scored.where(F.col("similarity") >= THRESHOLD), "passed")
     found = opened.select("doc_id", "th", "s", "n", "k1", "k2").join(if_small(passed), ["n", "k1", "k2"]).select("doc_id", "th", "item_id", "s", "similarity")
-    short = _short(docs, benchmark)
+    short = _short(every, benchmark)
     found = found if short is None else found.union(short)
     best = found.groupBy("doc_id", "th", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("x"), F.col("s").alias("s"))).alias("b"))
     return best.select("doc_id", "th", "item_id", F.col("b.s").cast("long").alias("start"), (-F.col("b.x")).alias("similarity"))
