@@ -4,15 +4,18 @@ The automaton reads tokens: its paths are exactly the token strings that BPE yie
 as one state with a loop per byte.  Merging (u, v) puts a gadget into it: wherever an arc u
 leads to a state with an arc v, an arc uv to v's target is added, and u's target becomes a copy
 without the arc v.  All arcs of one token lead to one state, so the state after a token is
-named by the token, and gadget after gadget only ever decides whether an arc t leaves state a:
+named by the token, and its row of the transition table has a bit for each token that may follow.
+
+The table of the bytes and the first ``COMPILED`` merges, which nearly all tokens of a text are among, is
+compiled by putting in gadget after gadget: merging (u, v) gives the column uv, a copy of column u, and the row
+uv, a copy of row v, and clears the bit (u, v).  The full table would be the vocabulary squared, so arcs to
+and from later tokens follow their gadgets one by one the first time that a word needs them, and are kept:
 
 * a later merge of (a, t) takes the arc away;
 * an arc t = uv, added when uv was merged, needs the arc u at that time;
 * a state made for a = uv copies the arcs that v's state had at that time;
 * if a = u = v, then (a, uv) has no arc, because the leftmost pair merges first.
 
-Arcs follow these rules back through the merges the first time a word needs them and stay in
-the transition table, so the compiled part is as large as the words need, not vocabulary squared.
 A pre-split word is encoded by following arcs over its bytes: exactly one path spells it.  Arc labels decode: a token emits its bytes.
 """
 
@@ -23,6 +26,7 @@ import json
 from collections.abc import Iterator
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -40,6 +44,34 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Merges whose gadgets are compiled into the table.
+COMPILED = 4096
+
+
+def compile_gadgets(merges: list[tuple[int, int, int]], loops: list[int], size: int) -> np.ndarray:
+    """The packed transition table (row: state, bit: next token) over ``size`` tokens, numbered from 0.
+
+    ``loops`` are the bytes' tokens; merges (u, v, uv) are put in one after the other.
+    """
+    table = np.zeros((size, -(-size // 8)), dtype=np.uint8)
+
+    def put(row: int, column: int, on: bool) -> None:
+        bit = np.uint8(1 << column % 8)
+        table[row, column // 8] = table[row, column // 8] | bit if on else table[row, column // 8] & ~bit
+
+    first = np.zeros(size, dtype=np.uint8)
+    first[loops] = 1
+    table[loops] = np.packbits(first, bitorder="little")
+    for u, v, uv in merges:
+        # whoever could read u, and v behind it, can read uv
+        table[:, uv // 8] |= ((table[:, u // 8] >> np.uint8(u % 8)) & np.uint8(1)) << np.uint8(uv % 8)
+        table[uv] = table[v]  # behind uv stands what may stand behind v
+        if u == v:  # of three in a row the first two merge
+            put(u, uv, False)
+        put(u, v, False)
+    return table
+
+
 _COUNT, _IDS, _BYTES = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
@@ -67,7 +99,7 @@ class _Table(dict):
 class Automaton:
     """Compiled from a vocabulary file of the ``tokenizers`` library (byte-level BPE, lossless split)."""
 
-    def __init__(self, tokenizer_file: str, word_limit: int = 240_000, arc_limit: int = 250_000):
+    def __init__(self, tokenizer_file: str, word_limit: int = 240_000, arc_limit: int = 200_000, compiled: int = COMPILED):
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -93,6 +125,13 @@ class Automaton:
                 self.time[uv], self.parts[uv] = when, (u, v)
                 self.by_bytes[as_bytes(left + right)] = uv
         self.end = len(model["merges"])
+        #: Places of the compiled tokens in the table; tokens are numbered by when they were merged.
+        early = [t for t, when in self.time.items() if when < compiled]
+        self.place = {t: k for k, t in enumerate(early)}
+        steps = [(self.place[self.parts[t][0]], self.place[self.parts[t][1]], self.place[t]) for t in early if t in self.parts]
+        self.width = -(-len(early) // 8)
+        self.table = compile_gadgets(steps, [k for t, k in self.place.items() if t not in self.parts], len(early)).tobytes()
+        self._clear_late(merges=[(u, v) for (u, v), when in self.merged.items() if when >= compiled and u in self.place and v in self.place])
         self.made = {t: True for t, when in self.time.items() if when < 0}
         #: Of each beginning of a token: the token that it is, or -1.
         self.prefixes: dict[bytes, int] = {}
@@ -113,8 +152,19 @@ class Automaton:
         self.words = _Table(lambda piece: self.read(" " + piece), word_limit, word_limit // 2)
         self.pretokens = _Table(self.read_word, word_limit, word_limit // 2)
 
+    def _clear_late(self, merges: list[tuple[int, int]]) -> None:
+        """Later gadgets, too, clear the bit of their pair; what else they do concerns later tokens."""
+        table = bytearray(self.table)
+        for u, v in merges:
+            a, t = self.place[u], self.place[v]
+            table[a * self.width + t // 8] &= ~(1 << t % 8) & 0xFF
+        self.table = bytes(table)
+
     def arc(self, a: int, t: int) -> bool:
-        """Whether the arc t leaves the state after a, once all gadgets are in."""
+        """Whether the arc t leaves the state after a, once all gadgets are in: by the table, else by what is kept."""
+        row, column = self.place.get(a), self.place.get(t)
+        if row is not None and column is not None:
+            return bool(self.table[row * self.width + (column >> 3)] >> (column & 7) & 1)
         found = self.arcs.get(a << 32 | t)
         if found is None:
             if len(self.arcs) >= self.arc_limit:
@@ -148,7 +198,7 @@ class Automaton:
         whole = self.by_bytes.get(word)
         if whole is not None and self.makes(whole):
             return [whole]
-        n, arcs, shorter, sizes = len(word), self.arcs, self.shorter, self.sizes
+        n, place, table, width, shorter, sizes = len(word), self.place, self.table, self.width, self.shorter, self.sizes
         path: list[int] = []
         dead: set[int] = set()
         at, token = 0, self._longest(word, 0)
@@ -162,8 +212,10 @@ class Automaton:
             end = at + sizes[token]
             if end not in dead:
                 if path:
-                    ok = arcs.get(path[-1] << 32 | token)
-                    if ok is None:
+                    row, column = place.get(path[-1]), place.get(token)
+                    if row is not None and column is not None:
+                        ok = table[row * width + (column >> 3)] >> (column & 7) & 1
+                    else:
                         ok = self.arc(path[-1], token)
                 else:
                     ok = self.makes(token)
@@ -308,6 +360,7 @@ def digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
 
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the tokens of every whole text of ``documents`` and of what they decode to; edge cases as in :func:`digests`."""
     import public_tokenizers
 
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
