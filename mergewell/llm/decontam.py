@@ -57,17 +57,18 @@ def _right(x: Column, by: Column) -> Column:
 def _majority(hashes: Column, salt: int, lane: int) -> Column:
     """``PER_WORD`` blocks of bits, each the majority of that bit among the salted hashes; counters of ``lane`` bits, several in a long.
 
-    Bit g + lane * k of the hashes is counted in the k-th counter of the g-th long.
+    Bit g + lane * k of the hashes is counted in the k-th counter of the g-th long.  The bits are the first 14 of each 16, whatever the lane.
     """
-    bits, per = PER_WORD * BLOCK_BITS, 64 // lane
-    groups = -(-bits // per)
-    mask = F.lit(sum(1 << lane * k for k in range(per)))
+    bits, used = PER_WORD * BLOCK_BITS, 14
+    groups = used if lane == 16 else 16 + used
+    mask = F.lit(sum(1 << lane * k for k in range(64 // lane)))
     zero = F.array_repeat(F.lit(0).cast("long"), groups)
     counted = F.aggregate(F.transform(hashes, lambda h: F.xxhash64(F.lit(salt), h)), zero, lambda acc, h: F.transform(acc, lambda x, g: x + _right(h, g).bitwiseAND(mask)))
 
     def out(c: Column) -> Column:
         def add(acc: Column, at: Column) -> Column:
-            n = _right(F.get(c, at % groups), F.lit(lane) * F.floor(at / groups).cast("int")).bitwiseAND(F.lit(2**lane - 1))
+            bit = at % used + 16 * F.floor(at / used).cast("int")
+            n = _right(F.get(c, bit % lane), F.lit(lane) * F.floor(bit / lane).cast("int")).bitwiseAND(F.lit(2**lane - 1))
             return acc.bitwiseOR(F.when(2 * n > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), add)

@@ -129,11 +129,11 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = Fals
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = True) -> DataFrame:
     """Documents of (doc_id, text, ...) without later copies of repeated runs of lines.
 
-    Runs are the shortest at each place that hold ``min_words`` words, as the SQL of
-    ``op5_line_runs`` says; with ``maximal`` every repeated run of ``min_words`` words or more.
+    Every repeated run of ``min_words`` words or more goes; without ``maximal`` only the shortest such run
+    at each place, which is cheaper and leaves short lines at the end of longer runs.
 
     Adds ``n_lines`` (lines with a word), ``n_removed`` and ``n_runs`` (maximal stretches of
     removed ones); columns of these names are replaced.  Lines without a word stay where they
@@ -160,52 +160,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = Fal
     return out.select(*names, "n_lines", "n_removed", "n_runs")
 
 
-def _digests(spark: SparkSession, sf_dir: str, maximal: bool) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs, maximal=maximal)
-    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the shortest runs only, which is what its SQL states."""
-    return _digests(spark, sf_dir, maximal=False)
-
-
 def op5_maximal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By every repeated run of ``MIN_WORDS`` words or more, as the pipeline deletes them."""
-    return _digests(spark, sf_dir, maximal=True)
+    """Lines left in every whole text of ``documents`` once every repeated run of ``MIN_WORDS`` words or more is gone.
 
+    Null and empty texts have no lines; edge cases as in :func:`dedup_lines`; other columns are not read.
+    """
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
-QUERIES = {"op5_line_runs": op5_line_runs, "op5_maximal_runs": op5_maximal_runs}
+
+QUERIES = {"op5_maximal_runs": op5_maximal_runs}
 ORACLE_SQL = {
-    "op5_line_runs": r"""
-WITH l AS (
-  SELECT doc_id, pos, x, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
-), w AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM l WHERE n > 0
-), r AS (
-  SELECT a.doc_id, a.i, string_agg(b.x, chr(10) ORDER BY b.i) AS run, max(b.i) AS last
-  FROM (
-    SELECT doc_id, i, (SELECT min(z.k) FROM (
-      SELECT c.i AS k, sum(c.n) OVER (ORDER BY c.i) AS s FROM w c WHERE c.doc_id = o.doc_id AND c.i BETWEEN o.i AND o.i + 7) z WHERE z.s >= 8) AS j
-    FROM w o) a
-  JOIN w b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.j
-  GROUP BY a.doc_id, a.i
-), f AS (
-  SELECT *, first_value(doc_id) OVER q AS fd, first_value(i) OVER q AS fi FROM r WINDOW q AS (PARTITION BY run ORDER BY doc_id, i)
-), g AS (
-  SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i FROM f WHERE (fd, fi) <> (doc_id, i)
-), m AS (
-  SELECT l.doc_id, l.pos, l.x, w.i, g.i IS NOT NULL AS gone
-  FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND w.pos = l.pos LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = w.i
-), s AS (
-  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id, i IS NULL ORDER BY pos), false) AS starts FROM m
-)
-SELECT doc_id, count(i) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
-  sha256(coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM s GROUP BY doc_id
-""",
     "op5_maximal_runs": r"""
 WITH l AS (
   SELECT doc_id, pos, x, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n
