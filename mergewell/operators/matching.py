@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mergewell.functions import scalars as S
 from mergewell.functions import similarity
+from mergewell.operators.clustering import checkpointed
 
 NAME, NAME_COMPANY, NAME_SKILLS = 90.0, 85.0, 80.0
 
@@ -69,36 +70,40 @@ def _tagged(pairs: DataFrame, priority: int, confidence: Column, reason: Column)
     return pairs.select("left", "right", F.lit(priority).alias("rule"), confidence.alias("confidence"), reason.alias("reason"))
 
 
-def _keys(records: DataFrame, side: str) -> DataFrame:
-    """(side, side_1, side_2, ...): each record's keys of every rule."""
-    return records.select(F.col("record_idx").alias(side), *[keys().alias(f"{side}_{priority}") for priority, _, _, keys in KEY_RULES])
+def rule_keys(records: DataFrame) -> DataFrame:
+    """(record_idx, rule, key) of every rule on shared keys, worked out once and written."""
+    rules = [F.transform(keys(), _ruled(priority)) for priority, _, _, keys in KEY_RULES]
+    return checkpointed(records.select("record_idx", F.explode(F.concat(*[F.coalesce(r, F.array()) for r in rules])).alias("k")).select("record_idx", "k.rule", "k.key"))
 
 
-def first_rules(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(left, right, rule, confidence, reason) of pairs (left, right, rule, confidence, reason): the first rule that holds for
-    each, of the rules on shared keys and those that the pair was found by (null: by a key)."""
-    found = pairs.groupBy("left", "right").agg(F.min(F.struct("rule", "confidence", "reason")).alias("found"))
-    both = found.join(_keys(records, "left"), "left").join(_keys(records, "right"), "right")
-    rules = [F.when(F.col("found.rule").isNotNull(), F.col("found"))]
-    for priority, confidence, reason, _ in KEY_RULES:
-        shared = F.array_intersect(f"left_{priority}", f"right_{priority}")
-        text = F.concat(F.lit(f"{reason}: "), F.array_min(shared)) if priority == 1 else F.lit(reason)
-        rules.append(F.when(F.size(shared) > 0, F.struct(F.lit(priority).alias("rule"), F.lit(confidence).alias("confidence"), text.alias("reason"))))
-    # a struct of nulls is less than any other, so nulls are dropped first
-    best = F.array_min(F.filter(F.array(*rules), lambda x: x.isNotNull()))
-    return both.select("left", "right", best.alias("m")).where("m is not null").select("left", "right", "m.rule", "m.confidence", "m.reason")
+def _ruled(priority: int):
+    return lambda k: F.struct(F.lit(priority).alias("rule"), k.alias("key"))
 
 
-def key_pairs(records: DataFrame, complete: bool = False) -> DataFrame:
-    """(left, right) by any rule on shared keys: of each key every later record with the first, or with ``complete`` all pairs."""
-    pairs = [(all_pairs if complete else star)(keyed(records, keys())).select("left", "right") for _, _, _, keys in KEY_RULES]
-    return reduce(DataFrame.union, pairs).distinct()
+def key_pairs(keys: DataFrame, complete: bool = False) -> DataFrame:
+    """(left, right) by any rule of :func:`rule_keys`: of each key every later record with the first, or with ``complete`` all pairs."""
+    by = keys.select("record_idx", F.struct("rule", "key").alias("key"))
+    return (all_pairs if complete else star)(by).select("left", "right").distinct()
+
+
+def first_rules(keys: DataFrame, pairs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(left, right, rule, confidence, reason): the first rule that holds for each pair, of :func:`rule_keys` and of those that ``found`` it."""
+    of = lambda side: keys.select(F.col("record_idx").alias(side), "rule", "key")
+    known = found.select("left", "right") if found is not None else pairs.limit(0)
+    shared = pairs.union(known).distinct().join(of("left"), "left").join(of("right"), ["right", "rule", "key"])
+    table = lambda k: F.create_map(*[x for r in KEY_RULES for x in (F.lit(r[0]), F.lit(r[k]))])
+    reason = F.when(F.col("m.rule") == 1, F.concat(F.element_at(table(2), F.col("m.rule")), F.lit(": "), F.col("m.key"))).otherwise(F.element_at(table(2), F.col("m.rule")))
+    first = shared.groupBy("left", "right").agg(F.min(F.struct("rule", "key")).alias("m")).select("left", "right", "m.rule", F.element_at(table(1), F.col("m.rule")).alias("confidence"), reason.alias("reason"))
+    if found is None:
+        return first
+    best = first.union(found).groupBy("left", "right").agg(F.min(F.struct("rule", "confidence", "reason")).alias("m"))
+    return best.select("left", "right", "m.rule", "m.confidence", "m.reason")
 
 
 def key_matches(records: DataFrame, complete: bool = False) -> DataFrame:
     """(left, right, rule, confidence, reason) of the rules on shared keys."""
-    null = [F.lit(None).cast(t).alias(n) for n, t in (("rule", "int"), ("confidence", "double"), ("reason", "string"))]
-    return first_rules(records, key_pairs(records, complete).select("left", "right", *null))
+    keys = rule_keys(records)
+    return first_rules(keys, key_pairs(keys, complete))
 
 
 def similar_names(names: DataFrame, floor: float, sort: bool) -> DataFrame:
@@ -151,8 +156,6 @@ def matches(records: DataFrame, fuzzy: bool = True, complete: bool = False) -> D
 
     Pairs that share a key are those with a key's first record, which connect the same clusters; with ``complete`` all of them.
     """
-    null = [F.lit(None).cast(t).alias(n) for n, t in (("rule", "int"), ("confidence", "double"), ("reason", "string"))]
-    found = key_pairs(records, complete).select("left", "right", *null)
-    if fuzzy:
-        found = found.union(name_matches(records)).union(blended_matches(records))
-    return first_rules(records, found)
+    keys = rule_keys(records)
+    found = name_matches(records).union(blended_matches(records)) if fuzzy else None
+    return first_rules(keys, key_pairs(keys, complete), found)
