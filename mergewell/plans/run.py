@@ -63,7 +63,8 @@ def run(
     if config.use_ai:
         none = records.sparkSession.createDataFrame([], "record_idx long, payload string")
         records = enrich.add_insights(records, none if answers is None else answers)
-    normal = normalize(records)
+    # written once: matching, merging and the reports all read it
+    normal = clustering.checkpointed(normalize(records))
     found = matching.matches(normal, fuzzy)
     clusters = clustering.components(normal, found)
     merged = scoring.score(merging.merge(normal, clusters, config.source_priorities))
