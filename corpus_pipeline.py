@@ -1,8 +1,8 @@
 """From raw documents to token digests: five stages, each of which works on all that the one before kept.
 
 Every stage takes an empty table, null and empty texts, null ids and repeated rows: a null or empty text fails the quality
-rules and so goes first; rows equal in doc_id and text are judged alike, the first stage to tell them apart being none;
-columns other than those of documents are dropped.
+rules and so goes in the first stage; rows equal in doc_id and text are judged alike in every stage; columns other than
+those of documents are dropped.
 """
 
 from __future__ import annotations
