@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mergewell.functions import similarity as sim
@@ -27,6 +28,31 @@ def test_no_pair_is_lost(spark):
         assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize("floor", [70.0, 86.0, 90.0, 100.0])
+@pytest.mark.parametrize("block", [7, 4096])
+def test_candidates_hold_every_pair_once(spark, monkeypatch, floor, block):
+    monkeypatch.setattr(sim, "BLOCK", block)
+    monkeypatch.setattr(sim, "KEYED_FLOOR", 60.0 if floor < 80 else 85.0)
+    rng = random.Random(int(floor) + block)
+    words = ["anna", "marie", "j", "b", "li", "wu", "smith", "smyth", "katherine", "zoë", "李", "😀x", "x11", "10"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(120)]
+    names += [n[:k] + rng.choice(["", "e", n[k] * 2]) + n[k + rng.randrange(2) :] for n in names for k in [rng.randrange(len(n))]]
+    names = sorted({" ".join(n.split()) for n in names} | {"a" * 400, "a" * 390 + "b"})
+    left, right = names[::2], [*names[1::2], *names[::6]]
+    frame = lambda ns, c: spark.createDataFrame([(n,) for n in [*ns, None, "", "  "]], f"{c} string")
+    got = [(x.l, x.r) for x in sim.near_pairs(frame(left, "l"), frame(right, "r"), floor).collect()]
+    score = lambda a, b: max(sim.token_set(a, b), sim.token_sort(a, b), sim.initials(a, b))
+    want = {(a, b) for a in left for b in right if a.strip() and b.strip() and score(a, b) >= floor}
+    assert want <= set(got) and len(got) == len(set(got)) and len(want) > 20
+
+
+def test_unordered_candidates_hold_pairs_that_one_side_alone_has_keys_for(spark):
+    names = ["j smith", "john smith", "jon smyth", "katherine johnsson", "katharine johnson"]
+    frame = lambda c: spark.createDataFrame([(n,) for n in names], f"{c} string")
+    got = {(x.l, x.r) for x in sim.near_pairs(frame("l"), frame("r"), 90.0, unordered=True).collect()}
+    assert {("j smith", "john smith"), ("katharine johnson", "katherine johnsson")} <= got and all(a < b for a, b in got)
+
+
 def rules(frame):
     return {(r.left, r.right): r.rule for r in frame.collect()}
 
