@@ -378,8 +378,11 @@ def find(docs: DataFrame) -> DataFrame:
 
     A null text has no bytes; texts under a window's length lose nothing.  A null doc_id comes
     before all others.  Rows equal in doc_id and text are one document, and documents of equal
-    ids are ordered by a hash of the text.  ``kept`` is the rest of the bytes.
+    ids are ordered by a hash of the text.  Ids must be whole numbers.  ``kept`` is the
+    rest of the bytes.
     """
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("doc_id must be a whole number: spans keep ids as longs")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("t", F.xxhash64("text"))
     copies = _later_copies(docs)
     ranges = repeats(docs, copies).groupBy("doc_id", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
@@ -418,6 +421,11 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text of ``documents`` without its repeated 100-byte strings, as counts and a digest.
+
+    Null and empty texts have no bytes and the digest of nothing; repeated rows are one document and
+    each give a row; an empty table gives none; other cases as in :func:`find`.
+    """
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
 
 

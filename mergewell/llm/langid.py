@@ -214,6 +214,11 @@ def _read_texts(net: ByteConvNet, texts: pa.Array, lengths: np.ndarray) -> tuple
 
 
 def op4_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, by a network fitted on those that are not held out.
+
+    Null, empty and letterless texts are ``und`` with score 0, as all are where no language was
+    learned; a null id teaches nothing but is judged; an empty table gives no row; other columns are not read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return predict(docs.select("doc_id", "text"), train(docs))
 

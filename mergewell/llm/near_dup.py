@@ -363,6 +363,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every whole text of ``documents``, and how many documents have its very multiset.
+
+    Null, empty and wordless texts are classes of their own; texts under five words are one shingle;
+    repeated rows each give a row; an empty table gives none; other columns are not read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find(docs).select("doc_id", "class_id", "copy_of", "n_copies")
 

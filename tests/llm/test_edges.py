@@ -68,3 +68,9 @@ def test_clashing_columns(spark, odd, name):
 
 def test_empty_benchmark(spark, odd):
     assert decontam.find(odd, bench(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("find", [byte_dedup.find, lambda d: wavelet.write_blobs(d, "unused", WORD)])
+def test_ids_that_are_no_numbers_are_refused(spark, find):
+    with pytest.raises(TypeError):
+        find(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
