@@ -66,7 +66,7 @@ def run(
     # written once: matching, merging and the reports all read it
     normal = clustering.checkpointed(normalize(records))
     found = matching.matches(normal, fuzzy)
-    clusters = clustering.components(normal, found)
+    clusters = clustering.components(normal, matching.linked(normal) if fuzzy else found)
     merged = scoring.score(merging.merge(normal, clusters, config.source_priorities))
     candidates = output.canonical(merged)
     bad = candidates.where("size(errors) > 0")
