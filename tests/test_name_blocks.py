@@ -47,3 +47,14 @@ def test_many_blocks_match_and_connect_as_one(spark, monkeypatch, tmp_path):
     assert {tuple(r) for r in matching.matches(rows).collect()} == whole
     by_all = clustering.components(rows, matching.matches(rows))
     assert {tuple(r) for r in clustering.components(rows, matching.linked(rows)).collect()} == {tuple(r) for r in by_all.collect()}
+
+
+def test_ordered_distinct_works_its_items_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from mergewell.functions import scalars as S
+
+    df = spark.createDataFrame([(["b", "A", None, "a", "B", "c", None],), (["x"],), ([],), (None,)], "x array<string>")
+    out = df.select(S.dedup_ci(F.filter("x", lambda v: v.isNull() | (v != "marker"))).alias("y"))
+    assert [r.y for r in out.collect()] == [["b", "A", None, "c"], ["x"], [], None]
+    assert out._jdf.queryExecution().analyzed().toString().count("marker") == 1
