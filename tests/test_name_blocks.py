@@ -5,8 +5,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from mergewell import catalog
 from mergewell.functions import name_blocks
+from mergewell.functions import scalars as S
 from mergewell.functions import similarity as sim
 from mergewell.operators import clustering, matching
 from mergewell.operators.normalize import normalize
@@ -58,3 +61,32 @@ def test_ordered_distinct_works_its_items_out_once(spark):
     out = df.select(S.dedup_ci(F.filter("x", lambda v: v.isNull() | (v != "marker"))).alias("y"))
     assert [r.y for r in out.collect()] == [["b", "A", None, "c"], ["x"], [], None]
     assert out._jdf.queryExecution().analyzed().toString().count("marker") == 1
+
+
+def test_scored_pairs_work_no_pair_out_by_itself(monkeypatch):
+    def alone(*_):
+        raise AssertionError("a pair by itself")
+
+    want = {(f"supplier {i:09d}", f"supplier {j:09d}"): sim.token_sort(f"supplier {i:09d}", f"supplier {j:09d}") for i, j in itertools.product(range(95, 110), range(995, 1010))}
+    want = {p: max(s, sim.token_set(*p)) for p, s in want.items()}
+    for score in ("token_sort", "token_set", "initials", "ratio"):
+        monkeypatch.setattr(sim, score, alone)
+    a, b = block([f"supplier {i:09d}" for i in range(95, 110)]), block([f"supplier {i:09d}" for i in range(995, 1010)], 20)
+    got = {(a.names[x], b.names[y - 20]): s for columns in name_blocks.scored_pairs(a, b, False) for x, y, s in zip(*columns, strict=True)}
+    assert got == want
+
+
+def test_name_similarity_is_that_of_pairs(spark, monkeypatch, tmp_path):
+    rng = random.Random(7)
+    words = ["Anna", "Marie", "J", "b", "Li", "Smith", "Smyth", "Zoë", "10", "#1", "x" * 70]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(40)] + ["", None, "  ", "#", "J Smith", "John S", "John Smith"]
+    rows = [(rng.choice([k, 3, 50 - k]), n) for k, n in enumerate(names)] + [(None, "Anna"), (-(2**63), "Anna"), (2**63 - 1, "Li")]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    keyed = spark.createDataFrame(rows, "k bigint, s string").select("k", S.name_key(F.col("s"))).collect()
+    score = lambda p, q: max(sim.token_sort(p, q), sim.token_set(p, q), sim.initials(p, q))
+    want = sorted((i, j, score(p, q)) for (i, p), (j, q) in itertools.product(keyed, keyed) if i is not None and j is not None and i < j)
+    monkeypatch.setattr(matching, "BLOCK", 9)
+    df = catalog.q_name_similarity(spark, str(tmp_path))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.dtypes == [("k", "bigint"), ("other", "bigint"), ("score", "double")]
+    assert sorted(tuple(r) for r in df.collect()) == want
