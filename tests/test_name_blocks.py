@@ -72,7 +72,9 @@ def test_scored_pairs_work_no_pair_out_by_itself(monkeypatch):
     for score in ("token_sort", "token_set", "initials", "ratio"):
         monkeypatch.setattr(sim, score, alone)
     a, b = block([f"supplier {i:09d}" for i in range(95, 110)]), block([f"supplier {i:09d}" for i in range(995, 1010)], 20)
-    got = {(a.names[x], b.names[y - 20]): s for columns in name_blocks.scored_pairs(a, b, False) for x, y, s in zip(*columns, strict=True)}
+    got = {}
+    for idx, offsets, others, scores in name_blocks.scored_pairs(a, b, False):
+        got |= {(a.names[x], b.names[y - 20]): s for y, x, s in zip(np.repeat(idx, np.diff(offsets)), others, scores, strict=True)}
     assert got == want
 
 
