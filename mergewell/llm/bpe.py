@@ -76,13 +76,17 @@ class _Table(dict):
     """What keys are read as.  Keys met once wait in a short table and are forgotten with it; keys met
     again stay, so the many that never return take no memory.  Either starts anew at its limit.
 
-    Values are ids in four bytes each: an entry takes about 150 bytes, its key and its place included.
+    Values are ids in four bytes each.  Keys of over ``LONGEST`` characters are read each time, so that the limits bound bytes, too.
     """
 
+    LONGEST = 128
+
     def __init__(self, read, limit: int, waiting: int):
         self.read, self.limit, self.most, self.waiting = read, limit, waiting, {}
 
     def __missing__(self, key: str):
+        if len(key) > self.LONGEST:
+            return self.read(key)
         found = self.waiting.pop(key, None)
         if found is None:
             found = self.read(key)

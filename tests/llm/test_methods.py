@@ -2,8 +2,8 @@
 
 import collections
 import random
-import sys
 import re
+import sys
 import time
 
 import numpy as np
@@ -185,7 +185,9 @@ def test_what_is_kept_of_words_stays_small():
         tables = [d for t in (m.heads, m.words, m.pretokens) for d in (t, t.waiting)]
         held = {id(x): x for d in tables for k, v in d.items() for x in (k, v, *(v if isinstance(v, tuple) else ()))}
         most = max(most, sum(map(sys.getsizeof, tables)) + sum(map(sys.getsizeof, held.values())))
-    assert most < 30e6
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1000))
+    assert m.digest(f"{long} {long}") == m.digest(f"{long} {long}") and m.decode(m.encode(f"{long} {long}")) == f"{long} {long}"
+    assert most < 30e6 and all(len(k) <= 128 for t in (m.heads, m.words, m.pretokens) for k in (*t, *t.waiting))
 
 
 def test_gradients_are_the_slopes():
