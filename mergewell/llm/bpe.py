@@ -80,9 +80,9 @@ SEPARATOR = 0xFF
 #: Fewer words than this are encoded one by one.
 SIDE_BY_SIDE = 24
 #: Bytes of words that are encoded side by side; a longer word is encoded alone.
-WORD_BYTES = 1 << 18
+WORD_BYTES = 1 << 17
 #: About the bytes of texts whose words are looked up together.
-TEXT_BYTES = 1 << 21
+TEXT_BYTES = 1 << 20
 #: Marks that are one pre-split word where only they follow letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -158,8 +158,9 @@ class _Trie:
     def __init__(self, prefixes: dict[bytes, int]):
         nodes = {b"": 0} | {label: k for k, label in enumerate(prefixes, 1)}
         self.token = np.array([-1, *prefixes.values()], dtype=np.int32)
-        arcs = {nodes[label[:-1]] << 8 | label[-1]: k for label, k in nodes.items() if label and SEPARATOR not in label}
-        self.arcs = _Lookup(np.array(list(arcs), dtype=np.int64), np.array(list(arcs.values()), dtype=np.int32))
+        labels = [label for label in prefixes if SEPARATOR not in label]
+        keys = np.fromiter((nodes[label[:-1]] << 8 | label[-1] for label in labels), np.int64, len(labels))
+        self.arcs = _Lookup(keys, np.fromiter((nodes[label] for label in labels), np.int32, len(labels)))
 
     def longest(self, text: np.ndarray) -> np.ndarray:
         """The longest token at each place of bytes that end in a separator, over none; -1: none."""
